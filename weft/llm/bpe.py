@@ -258,3 +258,21 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     out = docs.select(F.col(id_col), digests(utf8(text_col)).alias("__d"))
     return out.select(id_col, "__d.n_tokens", "__d.ids_sha256", "__d.decoded_sha256")
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_tokens, ids, and round_trip (whether the ids decode to the text's bytes)."""
+    data, digest = send_ranks(docs.sparkSession, path)
+
+    @F.arrow_udf("ids array<int>, round_trip boolean")
+    def encoded(texts: pa.Array) -> pa.Array:
+        codec = codec_of(data, digest, pattern)
+        raw = [x.as_py() for x in texts]
+        packed = [codec.encode_packed(x.decode("utf-8", "replace")) for x in raw]
+        ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
+        same = [codec.decode_packed(p) == x for p, x in zip(packed, raw)]
+        return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+
+    out = docs.select(F.col(id_col), encoded(utf8(text_col)).alias("__e"))
+    return out.select(id_col, F.size("__e.ids").cast("long").alias("n_tokens"), "__e.ids", "__e.round_trip")

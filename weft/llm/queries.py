@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import bpe, media, simhash, urls
+from weft.llm import bpe, chat, editprint, html, media, mixing, quality, simhash, toxicity, urls
 from weft.session import table
 
 #: Fixed values of the query: (action, host, path).
@@ -17,17 +17,45 @@ URL_RULES = (
     urls.Rule("block", "example.com", "/de/"),
     urls.Rule("allow", "org", "/fr/"),
 )
+URL_ORACLE = r"""
+WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+s AS (SELECT page_id, coalesce(lower(url), '') AS low, coalesce(regexp_extract(rest, '^([^/?#]*)', 1), '') AS raw, rest FROM u),
+h AS (SELECT page_id, low, lower(raw) AS host, coalesce(regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1), '') AS path FROM s),
+r AS (SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM h)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(low, '/robots\.txt') THEN 'allow'
+    WHEN regexp_matches(low, '://ads\.|/ads/|/adserver/|/banner/|\.casino\.|/casino/|/porn/|\.xxx/|/warez/|/wp-login\.|/cgi-bin/|/phishing/') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM r
+"""
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Production parameters of the mixture: shares of tokens by language.
+TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
+LABELLED = 3000
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES + urls.DEFAULT_PATTERNS)
 
@@ -36,11 +64,42 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = mixing.labelled_documents(docs, table(spark, sf_dir, "labels"), LABELLED)
+    return mixing.mix(docs, labelled, TARGETS, max_rows=LABELLED)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository; it imports this module's parameters
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def op10_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.compare(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_chat": op2_chat,
     "op3_bpe": op3_bpe,
+    "op4_html": op4_html,
     "op5_url_filter": op5_url_filter,
     "op6_media": op6_media,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
+    "op9_mixing": op9_mixing,
+    "op10_edit_fingerprint": op10_edit_fingerprint,
+    "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE, "op5_url_filter": URL_ORACLE}
