@@ -83,7 +83,9 @@ def _ints(values: tuple[int, ...]) -> Column:
 
 def posteriors(docs: DataFrame, domains: Domains, id_col: str, text_col: str) -> DataFrame:
     """(id, h, tokens, copies, q0, q1, ...): per distinct id and text, tokens of all its rows and posteriors in thousandths."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"), F.posexplode(words(text_col)).alias("at", "w"))
+    # The hash is made below the generator: beside it, it would be computed again for every word.
+    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    rows = hashed.select("id", "h", F.posexplode(words("text")).alias("at", "w"))
     placed = rows.select("id", "h", "at", (F.col("w") != "").alias("real"), F.when(F.col("w") != "", bucket("w")).alias("b"))
     sums = placed.groupBy("id", "h").agg(
         F.count_if("real").alias("tokens"),
