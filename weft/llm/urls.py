@@ -2,8 +2,9 @@
 
 A rule has an action and either a host with a path prefix (it then fits that host and all its subdomains) or a
 wildcard pattern over the whole URL. Every rule compiles to one regular expression. Its literal tokens (runs of letters
-and digits that any matching URL must contain as whole tokens) are counted over all rules, and the rule is filed under its rarest
-one; rules without a sure token are tried on every URL. A URL's own tokens fetch the rules filed under them, and only
+and digits that any matching URL must contain as whole tokens) are counted over all URLs by one grouped aggregation, whose result
+has a row per token of the rules at most, and the rule is filed under its rarest one; rules without a sure token are tried on
+every URL. A URL's own tokens fetch the rules filed under them, and only
 those run their expression. Of the host rules that fit, the longest decides. Otherwise the pattern rules decide: an
 allowing one overrides blocking ones, and a URL that fits none is allowed.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -67,9 +69,11 @@ DEFAULT_PATTERNS = tuple(
 
 
 class RuleIndex:
-    def __init__(self, rules: tuple[Rule, ...]):
+    """counts: how often URLs have a token; without them, how often rules have it."""
+
+    def __init__(self, rules: tuple[Rule, ...], counts: Mapping[str, int] | None = None):
         self.rules = [(rule, re.compile(rule.expression()), len(rule.name)) for rule in rules]
-        common = Counter(token for rule in rules for token in rule.tokens())
+        common = Counter(token for rule in rules for token in rule.tokens()) if counts is None else Counter(counts)
         self.filed: dict[str, list[int]] = {}
         self.untokened: list[int] = []
         for k, rule in enumerate(rules):
@@ -106,9 +110,17 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(ASCII_LOWER), re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
 
 
-def judge_column(url: str | Column, rules: tuple[Rule, ...]) -> Column:
+def token_counts(pages: DataFrame, url_col: str, rules: tuple[Rule, ...]) -> dict[str, int]:
+    """How many URL tokens equal each token of the rules."""
+    wanted = sorted({token for rule in rules for token in rule.tokens()})
+    tokens = pages.select(F.explode(F.split(F.lower(F.col(url_col).cast("string")), "[^0-9a-z]+")).alias("token"))
+    counted = tokens.where(F.col("token").isin(wanted)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return {row["token"]: row["n"] for row in counted.collect()}
+
+
+def judge_column(url: str | Column, rules: tuple[Rule, ...], counts: Mapping[str, int] | None = None) -> Column:
     """struct(host, path, rule, verdict). Rules travel with the function: a rule set is configuration, not data."""
-    index = RuleIndex(rules)
+    index = RuleIndex(rules, counts)
 
     @F.arrow_udf("host string, path string, rule string, verdict string")
     def judge(urls: pa.Array) -> pa.Array:
@@ -121,5 +133,6 @@ def judge_column(url: str | Column, rules: tuple[Rule, ...]) -> Column:
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule, verdict."""
-    judged = pages.select(F.col(id_col), judge_column(url_col, rules).alias("__j"))
+    counts = token_counts(pages, url_col, rules)
+    judged = pages.select(F.col(id_col), judge_column(url_col, rules, counts).alias("__j"))
     return judged.select(id_col, "__j.host", "__j.path", "__j.rule", "__j.verdict")
