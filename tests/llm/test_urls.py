@@ -57,7 +57,7 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     index = U.RuleIndex(ALL, counts)
     names = {token: [index.rules[k][0].name for k in ks] for token, ks in index.filed.items()}
     assert "example.com/de/" in names["de"]
-    assert names["net"] == ["net/"]
+    assert sorted(names["net"]) == ["example.net/en/", "net/"]
     assert not index.untokened
 
 

@@ -241,13 +241,12 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = cut(docs.select(fingerprint_column(text_col).alias("p")).distinct())
     keyed = F.arrow_udf(_band_keys, "array<string>")
-    rows = prints.select("p", F.posexplode(keyed("p")).alias("band", "key"))
+    rows = prints.select("p", keyed("p").alias("keys")).select("p", F.posexplode("keys").alias("band", "key"))
     order = Window.partitionBy("band", "key").orderBy(F.xxhash64("p", "band"), "p")
-    tried = rows.select(
-        "p", F.explode(F.array(F.lag("p", 1).over(order), F.lag("p", 2).over(order), F.first("p").over(order))).alias("q")
-    ).where(F.col("q").isNotNull() & (F.col("p") != F.col("q")))
+    beside = rows.select("p", F.array(F.lag("p", 1).over(order), F.lag("p", 2).over(order), F.first("p").over(order)).alias("qs"))
+    tried = beside.select("p", F.explode("qs").alias("q")).where(F.col("q").isNotNull() & (F.col("p") != F.col("q")))
     pairs = tried.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
-    scored = pairs.withColumn("likeness", F.arrow_udf(_likeness_of, "double").asNondeterministic()("x", "y"))
+    scored = pairs.withColumn("likeness", F.arrow_udf(_likeness_of, "double")("x", "y"))
     kept = scored.where(F.col("likeness") >= least)
     return kept.select(F.lower(F.hex("x")).alias("a"), F.lower(F.hex("y")).alias("b"), "likeness")
 
