@@ -107,12 +107,12 @@ def naive_tree(rows: list[tuple]) -> dict:
     return every
 
 
-@pytest.mark.parametrize(("seed", "rounds"), [(1, 0), (2, 1), (3, 3), (4, 30)])
-def test_hierarchical_tree_equals_the_plain_loop(spark, seed, rounds):
+@pytest.mark.parametrize(("seed", "size", "rounds"), [(1, 100, 9), (2, 6, 9), (3, 1, 3), (4, 1, 30), (5, 3, 0)])
+def test_hierarchical_tree_equals_the_plain_loop(spark, seed, size, rounds):
     rows = naive_records(seed, 16, 8)
     df = spark.createDataFrame(rows, REC)
     got: dict = {}
-    for r in trie.hierarchical_blocks(df, tokens.term_frequency(df), rounds).collect():
+    for r in trie.hierarchical_blocks(df, tokens.term_frequency(df), size, rounds).collect():
         got.setdefault(tuple((s["token"], s["present"]) for s in r["path"]), set()).add(r["ref_id"])
     assert got == naive_tree(rows)
 

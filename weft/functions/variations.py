@@ -20,10 +20,11 @@ KEYBOARD = {
     "k": "jiolm", "l": "kop", "z": "asx", "x": "zsdc", "c": "xdfv", "v": "cfgb", "b": "vghn", "n": "bhjm", "m": "njk",
 }
 HOMOPHONES = {
-    "to": "too two", "there": "their they're", "here": "hear", "right": "write", "know": "no", "new": "knew", "see": "sea",
-    "be": "bee", "by": "buy bye", "for": "four fore", "one": "won", "ate": "eight", "hour": "our", "flower": "flour",
-    "mail": "male", "meet": "meat", "piece": "peace", "plain": "plane", "rain": "reign rein", "sole": "soul", "sun": "son",
-    "tail": "tale", "way": "weigh", "week": "weak", "wear": "where",
+    "to": ["too", "two"], "there": ["their", "they're"], "here": ["hear"], "right": ["write"], "know": ["no"],
+    "new": ["knew"], "see": ["sea"], "be": ["bee"], "by": ["buy", "bye"], "for": ["four", "fore"], "one": ["won"],
+    "ate": ["eight"], "hour": ["our"], "flower": ["flour"], "mail": ["male"], "meet": ["meat"], "piece": ["peace"],
+    "plain": ["plane"], "rain": ["reign", "rein"], "sole": ["soul"], "sun": ["son"], "tail": ["tale"], "way": ["weigh"],
+    "week": ["weak"], "wear": ["where"],
 }
 REGIONAL = {
     "color": "colour", "center": "centre", "analyze": "analyse", "defense": "defence", "gray": "grey", "humor": "humour",
@@ -64,8 +65,8 @@ VOWEL_PAIRS = {
     "ou": "o", "er": "or", "ir": "ur", "or": "ar", "ea": "ee", "ai": "ay", "oa": "o", "oo": "u", "ie": "ee", "ei": "ay",
     "au": "aw", "ew": "oo",
 }
-PREFIXES = "un pre mis re in dis im il non over sub super".split()
-SUFFIXES = "ing tion ment ness less ful able ible ity ism ist er est ly ed s".split()
+PREFIXES = ["un", "pre", "mis", "re", "in", "dis", "im", "il", "non", "over", "sub", "super"]
+SUFFIXES = ["ing", "tion", "ment", "ness", "less", "ful", "able", "ible", "ity", "ism", "ist", "er", "est", "ly", "ed", "s"]
 ACCENTS = {
     "a": "á", "e": "é", "i": "í", "o": "ó", "u": "ú", "A": "Á", "E": "É", "I": "Í", "O": "Ó", "U": "Ú", "n": "ñ", "c": "ç",
 }
@@ -198,7 +199,7 @@ def vowel_shift(w: Column) -> Column:
 
 
 def homophone(w: Column) -> Column:
-    options = F.split(lookup(HOMOPHONES, F.lower(w)), " ")
+    options = F.split(lookup({word: " ".join(same) for word, same in HOMOPHONES.items()}, F.lower(w)), " ")
     return _one(F.coalesce(_pick(w, "homophone", options), w))
 
 

@@ -2,8 +2,9 @@
 
 A record's path is decided by which of the tokens, in rank order, it has. All groups are split in parallel, each by the first
 token that some but not all of its members have, so a round replaces as many levels of the token list as hold no real
-split for a group. After a number of rounds the groups that are left are finished in one pass each: sorted by their ranks,
-neighbouring records first differ at the rank of the split that parts them.
+split for a group. As soon as a group is small (GROUP records), it is finished in one pass of its own: sorted by their ranks,
+neighbouring records first differ at the rank of the split that parts them. Large groups go on splitting in parallel, for
+ROUNDS rounds at most: a tree that is deeper than that above groups this large has more memberships than any store holds.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from weft.operators.graph import dense_index
 from weft.session import cut
 
 STEP = "struct<token:string,present:int>"
+GROUP, ROUNDS = 20_000, 64
 
 
 def token_ranks(freq: DataFrame) -> DataFrame:
@@ -59,25 +61,32 @@ def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["path", "ref_id"])
 
 
-def hierarchical_blocks(records: DataFrame, freq: DataFrame, rounds: int = 3) -> DataFrame:
+def hierarchical_blocks(records: DataFrame, freq: DataFrame, group_size: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """(path, ref_id): every block of the tree (B11). path lists (token, present) of the real splits; the root's is empty."""
     ranks = cut(token_ranks(freq))
     kind = records.schema["ref_id"].dataType.simpleString()
     group = cut(record_ranks(records, ranks).withColumn("path", F.array().cast("array<long>")))
     levels = [group.select("path", "ref_id")]
+
+    def finished(groups: DataFrame) -> DataFrame:
+        return groups.groupBy("path").applyInPandas(_finish, f"path array<long>, ref_id {kind}")
+
     for _ in range(rounds):
-        sizes = group.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
+        sizes = cut(group.groupBy("path").agg(F.count(F.lit(1)).alias("size")))
+        large = sizes.where(F.col("size") > group_size)
+        levels.append(finished(group.join(large, "path", "left_anti")))
+        group = group.join(large.select("path"), "path", "left_semi")
+        if large.isEmpty():
+            break
         held = group.select("path", F.explode("ranks").alias("rank")).groupBy("path", "rank").agg(F.count(F.lit(1)).alias("n"))
-        split = held.join(sizes, "path").where(F.col("n") < F.col("size")).groupBy("path").agg(F.min("rank").alias("rank"))
+        split = held.join(large, "path").where(F.col("n") < F.col("size")).groupBy("path").agg(F.min("rank").alias("rank"))
         parted = group.join(split, "path").withColumn(
             "path", F.array_append("path", 2 * F.col("rank") + F.array_contains("ranks", F.col("rank")).cast("int"))
         )
         group = cut(parted.select("ref_id", "ranks", "path"))
-        if group.isEmpty():
-            break
         levels.append(group.select("path", "ref_id"))
     else:
-        levels.append(group.groupBy("path").applyInPandas(lambda pdf: _finish(pdf), f"path array<long>, ref_id {kind}"))
+        levels.append(finished(group))
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
