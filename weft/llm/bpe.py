@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -37,7 +38,7 @@ from weft.llm.text import utf8
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNKS = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]")
 #: Entries a memo may hold before it starts anew; a chunk longer than LONG is not kept. Bounds a worker's memory.
-MEMO, LONG = 250_000, 64
+MEMO, LONG = 100_000, 64
 NONE = -1
 
 
@@ -171,6 +172,11 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
+    def forget(self) -> None:
+        """Empty the memos: worker processes outlive their tasks."""
+        self.packed.clear()
+        self.fits.clear()
+
     def decode_packed(self, packed: bytes) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[k] for k in np.frombuffer(packed, "<u4").tolist()])
@@ -212,16 +218,23 @@ def send_ranks(spark: SparkSession, path: str) -> tuple[Broadcast, str]:
     return spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
 
+def _lists(packed: list[bytes]) -> pa.Array:
+    """Packed ids as an array of lists, without another copy of the ids."""
+    ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+    ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
+
+
 def encode_column(spark: SparkSession, text: str | Column, path: str, pattern: str) -> Column:
     """array<int> of a text's ids."""
     data, digest = send_ranks(spark, path)
 
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = codec_of(data, digest, pattern)
-        packed = [codec.encode_packed(x.as_py().decode("utf-8", "replace")) for x in texts]
-        ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
+        for texts in batches:
+            yield _lists([codec.encode_packed(x.as_py().decode("utf-8", "replace")) for x in texts])
+        codec.forget()
 
     return encode(utf8(text))
 
@@ -243,18 +256,20 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     data, digest = send_ranks(docs.sparkSession, path)
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(texts: pa.Array) -> pa.Array:
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = codec_of(data, digest, pattern)
-        counts, ids, decoded = [], [], []
-        for x in texts:
-            packed = codec.encode_packed(x.as_py().decode("utf-8", "replace"))
-            counts.append(len(packed) // 4)
-            ids.append(hashlib.sha256(packed).hexdigest())
-            decoded.append(hashlib.sha256(codec.decode_packed(packed)).hexdigest())
-        return pa.StructArray.from_arrays(
-            [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-            ["n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        for texts in batches:
+            counts, ids, decoded = [], [], []
+            for x in texts:
+                packed = codec.encode_packed(x.as_py().decode("utf-8", "replace"))
+                counts.append(len(packed) // 4)
+                ids.append(hashlib.sha256(packed).hexdigest())
+                decoded.append(hashlib.sha256(codec.decode_packed(packed)).hexdigest())
+            yield pa.StructArray.from_arrays(
+                [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                ["n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+        codec.forget()
 
     out = docs.select(F.col(id_col), digests(utf8(text_col)).alias("__d"))
     return out.select(id_col, "__d.n_tokens", "__d.ids_sha256", "__d.decoded_sha256")
@@ -265,14 +280,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     data, digest = send_ranks(docs.sparkSession, path)
 
     @F.arrow_udf("ids array<int>, round_trip boolean")
-    def encoded(texts: pa.Array) -> pa.Array:
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = codec_of(data, digest, pattern)
-        raw = [x.as_py() for x in texts]
-        packed = [codec.encode_packed(x.decode("utf-8", "replace")) for x in raw]
-        ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
-        same = [codec.decode_packed(p) == x for p, x in zip(packed, raw)]
-        return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+        for texts in batches:
+            packed, same = [], []
+            for x in texts:
+                raw = x.as_py()
+                packed.append(codec.encode_packed(raw.decode("utf-8", "replace")))
+                same.append(codec.decode_packed(packed[-1]) == raw)
+            yield pa.StructArray.from_arrays([_lists(packed), pa.array(same, pa.bool_())], ["ids", "round_trip"])
+        codec.forget()
 
     out = docs.select(F.col(id_col), encoded(utf8(text_col)).alias("__e"))
     return out.select(id_col, F.size("__e.ids").cast("long").alias("n_tokens"), "__e.ids", "__e.round_trip")

@@ -35,7 +35,7 @@ PREFIXES = (4, 5, 6)
 #: ASCII letters lower-cased, digits kept, other ASCII blanked; bytes of other letters kept.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Distinct words a worker remembers before it starts anew.
-MEMO = 100_000
+MEMO = 40_000
 THRESHOLD = 0.3
 #: With fewer labelled texts, the rows that calibrated thresholds train a last network too.
 REFIT = 2000
