@@ -30,3 +30,21 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert sum(d in ids for d in clean) / len(clean) > 0.97
     single = P.drop_near_duplicates(spark, kept, SF).collect()
     assert len({r["text"] for r in single}) == len(single)
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, repeated rows and ids, empty and very long texts, clashing extra columns, an empty table."""
+    text = "a plain sentence of several words that repeats nothing and offends nobody at all"
+    rows = [
+        (1, text, "en", "s", 1, "x"), (1, text, "en", "s", 1, "x"), (1, text + " once more", None, None, None, None), (None, text + " null", "en", "s", 1, "x"),
+        (None, None, None, None, None, None), (3, None, "en", "s", 1, "x"), (4, "", "en", "s", 1, "x"), (5, "word and another, " * 20_000, "en", "s", 1, "x"), (6, text.upper(), "zz", "s", 1, "x"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for _, stage in P.STAGES[:-1]:
+            out = P.cut(stage(spark, docs, SF))
+            assert out.columns == docs.columns
+            docs = out
+        assert all(r["round_trip"] for r in P.STAGES[-1][1](spark, docs, SF).collect())
+    deduplicated = P.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sum(r["text"] in (None, "") for r in deduplicated) == 1 and sum(r["text"] is not None and r["text"].lower() == text for r in deduplicated) == 1

@@ -113,18 +113,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Where rows repeat an id, one of them stays (smallest fingerprint). Rows without an id lose to any with one; a
     group that has no id at all keeps one of its rows. The few columns that decide are joined back by a row's
-    id and fingerprint, so whole rows are shuffled once.
+    id and text hash, so whole rows are shuffled once and fingerprints are made once.
     """
-    print_of = fingerprint_column(text_col, shingle)
-    prints = cut(docs.select(F.col(id_col).alias("id"), print_of.alias("fp")))
+    content = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    prints = cut(docs.select(F.col(id_col).alias("id"), content.alias("h"), fingerprint_column(text_col, shingle).alias("fp")))
     chosen = (
         prints.join(groups(prints, "id", radius), "fp")
         .where(F.col("id").eqNullSafe(F.col("component_id")))
         .groupBy("root", "id")
-        .agg(F.min("fp").alias("fp"))
-        .select(F.struct("id", "fp").alias("__chosen"))
+        .agg(F.min_by("h", F.struct("fp", "h")).alias("h"))
+        .select(F.struct("id", F.coalesce("h", F.lit(0)).alias("h")).alias("__chosen"))  # of the very type of __key
     )
-    keyed = docs.withColumn("__fp", print_of).withColumn("__key", F.struct(F.col(id_col).alias("id"), F.col("__fp").alias("fp")))
-    kept = keyed.join(cut(chosen), F.col("__key") == F.col("__chosen"), "left_semi")
+    keyed = docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), content.alias("h")))
+    # An inner join (chosen keys are distinct): a semi-join would be pushed below the key and cost the window a second shuffle.
+    kept = keyed.join(cut(chosen), F.col("__key") == F.col("__chosen"))
     rank = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(1)))
     return kept.withColumn("__rank", rank).where("__rank = 1").select(*docs.columns)
