@@ -258,6 +258,27 @@ def test_variation_methods(spark):
         signature.variations(words, "other")
 
 
+@pytest.mark.parametrize("threshold", [95, 85, 70, 40, 0])
+def test_fuzzy_join_loses_no_pair(spark, threshold):
+    rng = random.Random(threshold)
+    words = sorted({"".join(rng.choice("AB") for _ in range(rng.randrange(1, 16))) for _ in range(120)})
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    wanted = {
+        (a, b) for a in words for b in words
+        if a == b or a[0] == b[0] and abs(len(a) - len(b)) <= 2 and round(100 * (1 - distance(a, b) / max(len(a), len(b)))) >= threshold
+    }
+    found = signature.fuzzy_variations(spark.createDataFrame([(w,) for w in words], "token string"), threshold)
+    assert {tuple(r) for r in found.collect()} == wanted
+
+
 def test_flagship_run(spark):
     raw = sample_records(spark, 60)
     records = raw.select(F.col("RecID").alias("ref_id"), F.split(F.upper(F.concat_ws(" ", "Name", "Address")), " ").alias("tokens"))

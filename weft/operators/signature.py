@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import HashingTF, MinHashLSH
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import similarity_ratio, soundex
@@ -24,16 +24,47 @@ def _symmetric(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.unionByName(pairs).unionByName(turned).distinct()
 
 
+def _segment(n: Column, k: Column, i: Column) -> tuple[Column, Column]:
+    """Zero-based start and length of the i-th of k + 1 nearly equal segments of n characters."""
+    base, longer = F.floor(n / (k + 1)).cast("int"), (n % (k + 1)).cast("int")
+    extra = F.greatest(F.lit(0), i - (k + 1 - longer))
+    return (i * base + extra).cast("int"), F.when(i >= k + 1 - longer, base + 1).otherwise(base)
+
+
 def fuzzy_variations(tokens: DataFrame, threshold: int = 85, max_gap: int = 2) -> DataFrame:
     """Tokens of equal first character, lengths at most max_gap apart and similarity of threshold or more.
 
-    Lengths are part of the join key: each token is offered to its own length and the next ones.
+    A threshold bounds the edit distance k by the longer length. Of k + 1 segments of the shorter token at least one
+    survives k edits and stands in the longer token, at most k places away. So pairs meet in an equi-join on first character,
+    both lengths and a segment, and are then verified; tokens too short for k + 1 segments meet on their lengths alone.
     """
-    left = tokens.select("token", F.substring("token", 1, 1).alias("c"), F.char_length("token").alias("n"))
-    offered = left.select("token", "c", F.explode(F.sequence(F.col("n"), F.col("n") + max_gap)).alias("n"))
-    right = left.select(F.col("token").alias("variant"), "c", "n")
-    near = offered.join(right, ["c", "n"]).where((F.col("token") != F.col("variant")) & (similarity_ratio(F.col("token"), F.col("variant")) >= threshold))
-    return _symmetric(tokens, near.select("token", "variant"))
+    sized = tokens.select("token", F.substring("token", 1, 1).alias("c"), F.char_length("token").alias("n")).where("n > 0")
+
+    def edits(longer: str) -> Column:
+        return F.floor(F.col(longer) * (100.5 - threshold) / 100).cast("int")
+
+    n, k = F.col("n"), F.col("k")
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit("").alias("part")))
+
+    def own(i: Column) -> Column:
+        start, size = _segment(n, k, i)
+        return F.struct(i.alias("i"), F.substring(F.col("token"), start + 1, size).alias("part"))
+
+    short = sized.select("*", F.explode(F.sequence(n, n + max_gap)).alias("m")).withColumn("k", edits("m")).where((k > 0) & (n > 0))
+    offered = short.select("token", "c", "n", "m", F.explode(F.when(n > k, F.transform(F.sequence(F.lit(0), k), own)).otherwise(whole)).alias("s"))
+
+    def near(i: Column) -> Column:
+        start, size = _segment(n, k, i)
+        first, last = F.greatest(F.lit(0), start - k), F.least(start + k, F.col("m") - size)
+        places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda p: F.struct(i.alias("i"), F.substring(F.col("token"), p + 1, size).alias("part")))
+
+    long = sized.withColumnRenamed("n", "m").select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("m") - max_gap), F.col("m"))).alias("n"))
+    long = long.withColumn("k", edits("m")).where(k > 0)
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), k), near)))
+    sought = long.select(F.col("token").alias("variant"), "c", "n", "m", F.explode(F.when(n > k, parts).otherwise(whole)).alias("s"))
+    met = offered.join(sought, ["c", "n", "m", "s"]).where(F.col("token") != F.col("variant")).select("token", "variant").distinct()
+    return _symmetric(tokens, met.where(similarity_ratio(F.col("token"), F.col("variant")) >= threshold))
 
 
 def phonetic_variations(tokens: DataFrame) -> DataFrame:
