@@ -103,3 +103,28 @@ def components_sql(edges: str, nodes: str) -> str:
     return f"""und AS (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}),
 reach(a, b) AS (SELECT a, b FROM und UNION SELECT r.a, u.b FROM reach r JOIN und u ON r.b = u.a),
 comp AS (SELECT n.ref_id, least(n.ref_id, coalesce(min(r.b), n.ref_id)) AS root FROM {nodes} n LEFT JOIN reach r ON r.a = n.ref_id GROUP BY n.ref_id)"""
+
+
+def _code_sql(letter: str) -> str:
+    from weft.functions.text import SOUNDEX
+
+    return "CASE " + " ".join(f"WHEN contains('{letters}', {letter}) THEN '{code}'" for letters, code in SOUNDEX.items()) + " ELSE '' END"
+
+
+def soundex_sql(token: str) -> str:
+    """Sound code of a non-empty token; the folded state is the code so far, a bar, and the last letter's own code."""
+    upper = f"upper(replace({token}, 'ß', 'SS'))"
+    step = (
+        f"split_part(s, '|', 1) || CASE WHEN {_code_sql('c')} <> '' AND {_code_sql('c')} <> split_part(s, '|', 2) THEN {_code_sql('c')} ELSE '' END "
+        f"|| '|' || CASE WHEN c IN ('H', 'W') THEN split_part(s, '|', 2) ELSE {_code_sql('c')} END"
+    )
+    start = f"substr({upper}, 1, 1) || '|' || {_code_sql(f'substr({upper}, 1, 1)')}"
+    folded = f"list_reduce(list_filter(string_split(substr({upper}, 2), ''), lambda x: x <> ''), lambda s, c: {step}, {start})"
+    return f"rpad(substr(split_part({folded}, '|', 1), 1, 4), 4, '0')"
+
+
+def plain_soundex_sql(token: str) -> str:
+    upper = f"upper(replace({token}, 'ß', 'SS'))"
+    step = f"s || CASE WHEN {_code_sql('c')} <> '' AND {_code_sql('c')} <> s[-1] THEN {_code_sql('c')} ELSE '' END"
+    folded = f"list_reduce(list_filter(string_split(substr({upper}, 2), ''), lambda x: x <> ''), lambda s, c: {step}, substr({upper}, 1, 1))"
+    return f"rpad(substr({folded}, 1, 4), 4, '0')"

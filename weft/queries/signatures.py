@@ -114,7 +114,7 @@ def fuzzy_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fuzzy_variations(kept_vocabulary(spark, sf_dir)[1])
 
 
-@BOOK.add()
+@BOOK.add(f"{DOCUMENTS}, {OCCURRENCES}, c AS (SELECT token, {base.soundex_sql('token')} AS code FROM tf) SELECT code, count(*) AS n, min(token) AS first, max(token) AS last FROM c GROUP BY code")
 def phonetic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = S.vocabulary(base.documents(spark, sf_dir))
     coded = words.select("token", S.soundex("token").alias("code"))

@@ -156,7 +156,7 @@ def stable_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.stable_hash(F.col("p_name")).alias("h"))
 
 
-@BOOK.add()
+@BOOK.add(f"{DOCUMENTS}, {OCCURRENCES} SELECT token, {base.soundex_sql('token')} AS soundex, {base.plain_soundex_sql('token')} AS plain_soundex FROM tf")
 def sound_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = vocabulary(base.documents(spark, sf_dir))
     return words.select("token", T.soundex("token").alias("soundex"), T.plain_soundex("token").alias("plain_soundex"))
