@@ -43,8 +43,8 @@ def compress_tokens(body: str | Column, delimiter: str = ",") -> Column:
     """Upper-cased tokens of a record body: the delimiter separates like white space, other non-word characters vanish
     from inside tokens, empty tokens are dropped (C1)."""
     spaced = F.replace(F.upper(col(body)), F.lit(delimiter), F.lit(" "))
-    tokens = F.transform(F.split(spaced, r"\s+"), lambda t: F.regexp_replace(t, NON_WORD, ""))
-    return F.filter(tokens, lambda t: t != "")
+    # Over the whole text at once: removing characters from inside tokens does not move their borders.
+    return F.array_remove(F.split(F.regexp_replace(spaced, r"[^\p{L}\p{N}_\s]+", ""), r"\s+"), "")
 
 
 def resplit_tokens(tokens: str | Column) -> Column:

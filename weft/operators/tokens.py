@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import is_number
+from weft.session import cut
+
+BROADCAST_TOKENS = 200_000
 
 
 def occurrences(records: DataFrame) -> DataFrame:
@@ -45,14 +48,19 @@ def token_statistics(records: DataFrame) -> DataFrame:
 def remove_tokens(records: DataFrame, dropped: DataFrame) -> DataFrame:
     """records without the tokens of dropped(token); records that lose all keep an empty list. Order and repeats stay."""
     placed = records.select("ref_id", F.posexplode_outer("tokens").alias("pos", "token"))
-    kept = placed.join(dropped.select("token", F.lit(True).alias("gone")), "token", "left")
+    kept = placed.join(dropped.withColumn("gone", F.lit(True)).select("token", "gone"), "token", "left")
     kept_tokens = F.array_sort(F.collect_list(F.when(F.col("gone").isNull() & F.col("token").isNotNull(), F.struct("pos", "token"))))
     return kept.groupBy("ref_id").agg(F.transform(kept_tokens, lambda s: s["token"]).alias("tokens"))
 
 
 def remove_frequent_tokens(records: DataFrame, freq: DataFrame, max_frequency: int = 60) -> DataFrame:
-    """Records without tokens of frequency above max_frequency."""
-    return remove_tokens(records, frequent_tokens(freq, max_frequency))
+    """Records without tokens of frequency above max_frequency.
+
+    Frequent tokens are counted: up to BROADCAST_TOKENS are broadcast, so that occurrences stay in their task and one row per
+    record is shuffled; more are joined by a shuffle on the token.
+    """
+    dropped = cut(frequent_tokens(freq, max_frequency))
+    return remove_tokens(records, F.broadcast(dropped) if dropped.count() <= BROADCAST_TOKENS else dropped)
 
 
 def frequent_tokens(freq: DataFrame, max_frequency: int = 60) -> DataFrame:
