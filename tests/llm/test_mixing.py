@@ -106,6 +106,33 @@ def test_unreachable_target_keeps_its_residual(spark):
     assert all(r["p_zz"] == 0 and r["rate"] == pytest.approx(0.5, abs=2e-3) for r in got)
 
 
+@pytest.mark.parametrize(
+    ("cells", "targets"),
+    [
+        ([(100, 0, 0, 0, 10_000), (0, 1000, 0, 0, 94_500), (0, 0, 1000, 0, 250), (0, 0, 0, 1000, 250)], [0.2, 0.4, 0.2, 0.2]),
+        ([(1000, 0, 0, 0, 500), (0, 1000, 0, 0, 998_500), (0, 0, 1000, 0, 500), (0, 0, 300, 700, 500)], [0.2, 0.4, 0.2, 0.2]),
+        ([(1000, 0, 0, 0, 700), (0, 1000, 0, 0, 200), (0, 0, 1000, 0, 100), (600, 0, 0, 400, 50), (0, 0, 0, 1000, 1)], [0.0, 0.4, 0.3, 0.3]),
+    ],
+)
+def test_scarce_and_unwanted_domains_meet_their_targets(spark, cells, targets):
+    df = spark.createDataFrame(cells, "q0 int, q1 int, q2 int, q3 int, tokens long")
+    history, residual = M.solve(df, targets, most=20)
+    assert max(map(abs, residual)) < 1e-3
+    rated = df.withColumn("rate", M.rate_column(history, 4)).collect()
+    for k, target in enumerate(targets):
+        assert sum(r["rate"] * r["tokens"] * r[f"q{k}"] / 1000 for r in rated) / sum(r["tokens"] for r in rated) == pytest.approx(target, abs=1e-3)
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    df = spark.createDataFrame([(1, "aa1 aa2", "aa", "x", 1), (2, "aa3", "aa", "x", 1)], SCHEMA)
+    with pytest.warns(UserWarning, match="out of reach.*zz"):
+        M.mix(df, df, {"aa": 0.5, "zz": 0.5})
+    mixed = spark.createDataFrame([(500, 500, 10), (400, 600, 10)], "q0 int, q1 int, tokens long")
+    _, residual = M.solve(mixed, [0.9, 0.1], most=20)
+    best = min((0.5 * r - 0.9) ** 2 + (0.5 * r - 0.1) ** 2 for r in (k / 1000 for k in range(3000)))
+    assert sum(x * x for x in residual) == pytest.approx(best, abs=1e-3)
+
+
 def test_empty_and_unlabelled_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     some = spark.createDataFrame([(1, "aa1", "aa", "x", 1), (2, None, None, "x", 1)], SCHEMA)

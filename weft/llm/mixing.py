@@ -7,21 +7,26 @@ squares problem by projected gradient steps from rate 1, in the metric that weig
 step subtracts from every rate the same linear function of its posterior and cuts at zero. A rate is therefore a
 function of the posterior and the history of residuals (a few numbers per step). So the solver works on posteriors
 grouped to thousandths with their token sums, and documents compute their rates from the history, without a join.
+Gradient steps are slow for domains with few tokens. What they leave is settled by one last step of the same form, the
+least change of the rates that meets all targets; Newton's method on its dual (a number per domain) finds it.
 
 Scores are sums of integers, so they do not depend on the order of addition. Words are counted per document in the task
 that reads it; what is shuffled is one row per document, whatever its length, source or copies.
 
 Defined cases: a null or empty text has no tokens, its posterior is the prior; a null id is a document like others (rows
 of equal id and text share one score). Labelled rows whose domain has no target do not train. A domain without any
-training row has posterior 0 and keeps its residual. An empty table gives an empty result. At most max_rows labelled
+training row has posterior 0 and keeps its residual. Targets that no nonnegative rates meet are approached as far as
+possible, and a warning names what is left. An empty table gives an empty result. At most max_rows labelled
 rows train, those of smallest id hash; the driver holds BUCKETS counts per domain. Other columns pass through.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,10 @@ BUCKETS = 8192
 UNIT = 1000
 #: Evidence of a text counts as at most so many independent words: text of several domains keeps several.
 EFFECTIVE = 40
+#: Weight of the last step's own size beside the residuals: bounds it where targets are out of reach.
+LEAST = 1e-12
+#: Residual shares of tokens below which targets count as met.
+TOLERANCE = 1e-3
 
 
 def words(text: str | Column) -> Column:
@@ -132,8 +141,54 @@ def _largest(matrix: list[list[float]]) -> float:
     return value
 
 
-def solve(cells: DataFrame, targets: list[float], tolerance: float = 1e-3, most: int = 150) -> tuple[list[list[float]], list[float]]:
-    """(history, residual shares): projected gradient on cells(q..., tokens). Only sums per domain reach the driver."""
+def _settle(cells: DataFrame, targets: list[float], total: int, tolerance: float) -> list[float]:
+    """The last step from cells(q..., tokens, rate): rates max(0, rate - p . step) are the nearest that meet the targets.
+
+    Newton's method on the convex, piecewise quadratic dual. Damped and shortened steps are tried in one job, the best is taken; it
+    ends when the targets are met or no step lowers the dual any more. Domains without evidence do not move.
+    """
+    count = len(targets)
+    p = [F.col(f"q{k}") / UNIT for k in range(count)]
+    share = F.col("tokens") / total
+
+    def after(step: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.col("rate") - _dot(p, F.array(*[F.lit(float(x)) for x in step])))
+
+    def value(square: float, step: np.ndarray) -> float:
+        return square / 2 + float(step @ wanted) + LEAST / 2 * float(step @ step)
+
+    wanted = np.array(targets)
+    step = np.zeros(count)
+    while True:
+        rated = cells.withColumn("r", after(step))
+        alive = F.when(F.col("r") > 0, share).otherwise(0.0)
+        sums = rated.agg(
+            F.sum(share * F.col("r") * F.col("r")).alias("square"),
+            *[F.sum(share * F.col("r") * p[k]).alias(f"s{k}") for k in range(count)],
+            *[F.sum(p[k]).alias(f"any{k}") for k in range(count)],
+            *[F.sum(alive * p[i] * p[j]).alias(f"h{i}_{j}") for i in range(count) for j in range(i, count)],
+        ).first()
+        left = np.array([round(sums[f"s{k}"], 12) for k in range(count)]) - wanted
+        known = np.array([sums[f"any{k}"] > 0 for k in range(count)])
+        lowest = value(sums["square"], step)
+        if not known.any() or np.abs(left[known]).max() < tolerance:
+            return step.tolist()
+        slope = np.where(known, LEAST * step - left, 0.0)
+        curve = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] for j in range(count)] for i in range(count)])
+        curve[~known] = curve[:, ~known] = 0.0
+        moves = [np.linalg.solve(curve + damp * np.eye(count), slope) for damp in (LEAST, 1e-9, 1e-6, 1e-3, 1.0)]
+        tried = [step - short * move for move in moves for short in (1.0, 0.25, 1 / 16, 1 / 64)]
+        squares = cells.agg(*[F.sum(share * after(x) * after(x)).alias(f"t{k}") for k, x in enumerate(tried)]).first()
+        values = [value(squares[k], x) for k, x in enumerate(tried)]
+        best = int(np.argmin(values))
+        if not values[best] < lowest - 1e-12 * max(1.0, abs(lowest)):
+            return step.tolist()
+        step = tried[best]
+
+
+def solve(cells: DataFrame, targets: list[float], tolerance: float = TOLERANCE, most: int = 150) -> tuple[list[list[float]], list[float]]:
+    """(history, residual shares): at most most projected gradient steps on cells(q..., tokens) and, where these leave a
+    residual, a last step that settles it. Only sums per domain reach the driver."""
     count = len(targets)
     p = [F.col(f"q{k}") / UNIT for k in range(count)]
     first = cells.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(count) for j in range(i, count)]).first()
@@ -144,15 +199,26 @@ def solve(cells: DataFrame, targets: list[float], tolerance: float = 1e-3, most:
     step = 1.6 / max(1e-9, _largest(gram))
     history: list[list[float]] = []
     before: list[float] = []
-    while True:
+
+    def left() -> list[float]:
         rated = cells.withColumn("rate", rate_column(history, count))
         sums = rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * p[k]).alias(f"s{k}") for k in range(count)]).first()
-        residual = [round(sums[k] / total - targets[k], 9) for k in range(count)]
+        return [round(sums[k] / total - targets[k], 9) for k in range(count)]
+
+    while True:
+        residual = left()
         settled = before and max(abs(a - b) for a, b in zip(residual, before)) < tolerance / 100
-        if max(map(abs, residual)) < tolerance or settled or len(history) >= most:
+        if max(map(abs, residual)) < tolerance:
             return history, residual
+        if settled or len(history) >= most:
+            break
         history.append([step * x for x in residual])
         before = residual
+    last = _settle(cut(cells.withColumn("rate", rate_column(history, count))), targets, total, tolerance)
+    if any(last):
+        history.append(last)
+        residual = left()
+    return history, residual
 
 
 def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_col: str, id_col: str, text_col: str, max_rows: int) -> tuple[DataFrame, list[str]]:
@@ -164,7 +230,10 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domai
     scored = cut(posteriors(docs, domains, id_col, text_col))
     qs = [f"q{k}" for k in range(len(names))]
     cells = cut(scored.groupBy(*qs).agg(F.sum("tokens").alias("tokens")))
-    history, _ = solve(cells, [targets[name] / weight for name in names])
+    history, residual = solve(cells, [targets[name] / weight for name in names])
+    unmet = {name: x for name, x in zip(names, residual) if abs(x) >= TOLERANCE}
+    if history and unmet:
+        warnings.warn(f"targets out of reach; shares of tokens above (below, if negative) target: {unmet}", stacklevel=2)
     return scored.withColumn("rate", F.round(rate_column(history, len(names)), 6)), names
 
 
