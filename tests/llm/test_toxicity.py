@@ -62,6 +62,37 @@ def test_best_threshold():
     assert T.best_threshold(np.array([0.9]), np.array([1])) is None
 
 
+def test_thresholds_see_every_kept_out_row_at_true_class_shares(spark):
+    """Rows that words cannot tell apart, 8 of 100 toxic: a small sample of as many of each class must not set the threshold."""
+    rng = random.Random(4)
+    words = [f"word{k}" for k in range(60)]
+
+    def text(toxic: bool) -> str:
+        return " ".join([rng.choice(words) for _ in range(12)] + ["nasty"] * (rng.random() < (0.7 if toxic else 0.15)))
+
+    rows = [(k, text(k % 25 < 2), "en", int(k % 25 < 2)) for k in range(3000)]
+    rows = [(k, ("word1 " * 4_000 if k % 7 == 0 else "") + t, lang, y) for k, t, lang, y in rows]  # some beyond max_chars
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    net = T.train(df, df, max_rows=150)
+    seen = {r["doc_id"] for r in df.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(5)) == 0).select("doc_id").collect()}
+    out = [row for row in rows if row[0] in seen]
+    scorer = T.Scorer(net)
+    scores, real = np.array([scorer.score(t.encode()) for _, t, _, _ in out]), np.array([y for *_, y in out])
+    counted = T.kept_out_scores(df, df, net, "toxic", "doc_id", "text", "lang")
+    assert sum(n for *_, n in counted) == len(out) and sum(y * n for _, y, _, n in counted) == real.sum()
+
+    def f1(threshold: float) -> float:
+        return 2 * (real & (scores >= threshold)).sum() / ((scores >= threshold).sum() + real.sum())
+
+    best = max(f1(s) for s in scores)
+    assert f1(net.threshold) == pytest.approx(best, abs=0.01)
+
+
+def test_equal_scores_stay_on_one_side():
+    assert T.best_threshold(np.array([0.9, 0.5, 0.5, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.3)
+    assert T.best_threshold(np.array([0.9, 0.5, 0.1]), np.array([1, 1, 0]), np.array([1, 1, 90])) == pytest.approx(0.3)
+
+
 def test_held_out_accuracy_on_documents(spark):
     rows = op7_toxicity(spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet")

@@ -7,9 +7,10 @@ contribution to every filter position is computed once per distinct word and the
 
 Training uses labelled rows only: at most max_rows of each class, those of smallest id hash, and of these only texts of
 at most max_chars characters (both are documented parameters that bound the driver's memory, whatever the table's size).
-Scores refer to the class shares among all labelled training rows. Thresholds are calibrated for each language on rows kept out
-of the gradient steps and shrink to the global threshold where a language has few of them; language enters only the
-decision, never the score.
+Scores refer to the class shares among all labelled training rows. Thresholds are calibrated for each language on every labelled
+row, whatever its length, of the fifth of ids kept out of the gradient steps, so at the true class shares: their scores are
+counted by thousandths of log odds, and only the counts reach the driver. They shrink to the global threshold where a
+language has few of them; language enters only the decision, never the score.
 
 Defined cases: null and empty texts, and texts without a word, get the score of no evidence. Rows without a label do not
 train; nor do labels without a text. Without labelled rows of both classes every score is 0. Repeated rows give
@@ -37,8 +38,8 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 o
 #: Distinct words a worker remembers before it starts anew.
 MEMO = 40_000
 THRESHOLD = 0.3
-#: With fewer labelled texts, the rows that calibrated thresholds train a last network too.
-REFIT = 2000
+#: One in so many ids is kept out of the gradient steps, to calibrate thresholds.
+KEPT_OUT = 5
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -246,18 +247,35 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max
     return sorted((r["__h"], r["__lang"], r["__y"], bytes(r["__text"])) for r in rows), counts
 
 
-def best_threshold(scores: np.ndarray, truth: np.ndarray) -> float | None:
-    """The threshold of highest F1, midway to the next lower score."""
+def best_threshold(scores: np.ndarray, truth: np.ndarray, counts: np.ndarray | None = None) -> float | None:
+    """The threshold of highest F1, midway to the next lower score; counts: rows that each entry stands for."""
     if not truth.any() or truth.all():
         return None
     order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(truth[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + truth.sum())
+    each = np.ones(len(scores)) if counts is None else counts
+    hits = np.cumsum((truth * each)[order])
+    f1 = 2 * hits / (np.cumsum(each[order]) + hits[-1])
+    # Entries of one score are on the same side of any threshold.
+    f1[:-1][scores[order[:-1]] == scores[order[1:]]] = -1
     k = int(f1.argmax())
     below = scores[order[k + 1]] if k + 1 < len(order) else 0.0
     return float((scores[order[k]] + below) / 2)
 
 
+def kept_out_scores(
+    docs: DataFrame, labels: DataFrame, net: Network, label: str, id_col: str, text_col: str, lang_col: str | None
+) -> list[tuple[str, int, float, int]]:
+    """(language, label, score, rows) of all labelled rows kept out of training, counted by thousandths of log odds."""
+    out = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(KEPT_OUT)) == 0
+    ids = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & out(id_col)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y"))
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col else F.lit("")
+    texts = docs.where(out(id_col)).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), lang.alias("__lang"))
+    read = texts.where(F.col("__text").isNotNull()).join(ids, "__id")
+    scored = read.select("__lang", "__y", score_column(docs, net, "__text").alias("__s"))
+    counted = scored.groupBy("__lang", "__y", F.round(F.ln(F.col("__s") / (1 - F.col("__s"))), 3).alias("__z")).agg(F.count(F.lit(1)).alias("n"))
+    return sorted((r["__lang"], r["__y"], float(sigmoid(r["__z"])), r["n"]) for r in counted.collect())
+
+
 def train(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 2500, max_chars: int = 20_000,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", enough: int = 50,
@@ -267,26 +285,26 @@ def train(
     truth = np.array([y for _, _, y, _ in rows], np.int64)
     if not rows or truth.all() or not truth.any():
         return None
-    held = np.array([h % 5 == 0 for h, _, _, _ in rows])
-    if len({*truth[held]}) < 2 or len({*truth[~held]}) < 2:
-        held[:] = False
-    kept = np.flatnonzero(~held)
+    kept = np.flatnonzero([h % KEPT_OUT != 0 for h, _, _, _ in rows])
+    apart = len({*truth[kept]}) == 2 and len(kept) < len(rows)
+    kept = kept if apart else np.arange(len(rows))
     net = fit([rows[k][3] for k in kept], truth[kept])
     net.shift = float(np.log(max(1, counts.get(1, 0)) / max(1, counts.get(0, 0))))  # batches had equal shares
-    check = np.flatnonzero(held) if held.any() else kept
-    scorer = Scorer(net)
-    scores, real = np.array([scorer.score(rows[k][3]) for k in check]), truth[check]
-    net.threshold = best_threshold(scores, real) or THRESHOLD
-    for lang in sorted({rows[k][1] for k in check}):
-        own = np.array([rows[k][1] == lang for k in check])
-        found = best_threshold(scores[own], real[own])
+    checked = kept_out_scores(docs, labels, net, label, id_col, text_col, lang_col) if apart else []
+    if len({y for _, y, _, _ in checked}) < 2:  # too few labelled rows to keep some apart
+        net = fit([row[3] for row in rows], truth) if apart else net
+        net.shift = float(np.log(max(1, counts.get(1, 0)) / max(1, counts.get(0, 0))))
+        scorer = Scorer(net)
+        checked = [(lang, y, scorer.score(text), 1) for _, lang, y, text in rows]
+    real, scores, each = (np.array([row[k] for row in checked]) for k in (1, 2, 3))
+    net.threshold = best_threshold(scores, real, each) or THRESHOLD
+    for name in sorted({row[0] for row in checked}):
+        own = np.array([row[0] == name for row in checked])
+        found = best_threshold(scores[own], real[own], each[own])
         if found is not None:
-            weight = real[own].sum() / (real[own].sum() + enough)
-            net.thresholds[lang] = float(weight * found + (1 - weight) * net.threshold)
-    if held.any() and len(rows) < REFIT:
-        whole = fit([row[3] for row in rows], truth)
-        whole.shift, whole.threshold, whole.thresholds = net.shift, net.threshold, net.thresholds
-        return whole
+            toxic = float((real * each)[own].sum())
+            weight = toxic / (toxic + enough)
+            net.thresholds[name] = float(weight * found + (1 - weight) * net.threshold)
     return net
 
 
