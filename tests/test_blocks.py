@@ -228,6 +228,48 @@ def test_correction(spark):
     assert {r["ref_id"]: r["tokens"] for r in correct.apply_corrections(records, mapping).collect()} == {1: ["SMITH", "X", "SMITH"], 2: []}
 
 
+@pytest.mark.parametrize("held", [True, False])
+def test_rows_of_equal_and_null_ids_stay_apart(spark, held, monkeypatch):
+    if not held:
+        monkeypatch.setattr("weft.operators.lists.HELD_ROWS", -1)
+    rows = [(1, ["A", "B"]), (1, ["C", "D", "A"]), (1, ["A", "B"]), (None, ["E"]), (None, ["F", None, "A"]), (2, []), (3, None), (4, ["A"])]
+    records = spark.createDataFrame(rows, REC).repartition(3)
+    gone = spark.createDataFrame([("A",), ("X",)], "token string")
+    got = sorted((r["ref_id"] or 0, r["tokens"]) for r in tokens.remove_tokens(records, gone).collect())
+    assert got == [(0, ["E"]), (0, ["F"]), (1, ["B"]), (1, ["B"]), (1, ["C", "D"]), (2, []), (3, []), (4, [])]
+    mapping = spark.createDataFrame([("A", "Z"), ("D", "E")], "token string, standard string")
+    got = sorted((r["ref_id"] or 0, r["tokens"]) for r in correct.apply_corrections(records, mapping).collect())
+    assert got == [(0, ["E"]), (0, ["F", "Z"]), (1, ["C", "E", "Z"]), (1, ["Z", "B"]), (1, ["Z", "B"]), (2, []), (3, []), (4, ["Z"])]
+    assert tokens.remove_tokens(records.limit(0), gone).count() == 0
+    assert tokens.remove_tokens(records, gone.limit(0)).count() == 8
+
+
+def test_sampled_pairs(spark):
+    blocks = spark.createDataFrame([([k], r) for k, n in (("A", 30), ("B", 3), ("C", 1)) for r in range(n)], "key array<string>, ref_id long")
+    got: dict = {}
+    for r in graph.sampled_pairs(blocks, 40).collect():
+        assert r["a"] < r["b"]
+        got.setdefault(r["key"][0], []).append((r["a"], r["b"]))
+    assert len(got["A"]) == len(set(got["A"])) == 40 and sorted(got["B"]) == [(0, 1), (0, 2), (1, 2)] and "C" not in got
+    assert len({x for p in got["A"] for x in p}) > 20
+
+
+def naive_purge(blocks: dict) -> dict:
+    first: dict = {}
+    for key in sorted(blocks, key=lambda k: (len(k), k)):
+        first.setdefault(frozenset(blocks[key]), key)
+    return {key: set(members) for members, key in first.items() if not any(members < other for other in first)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_purge_equals_the_plain_loop(spark, seed):
+    rng = random.Random(seed)
+    blocks = {(f"K{k}",): set(rng.sample(range(400), rng.choice((1, 2, 3, 8, 200)))) for k in range(120)}
+    blocks |= {(f"S{k}",): set(rng.sample(sorted(rng.choice([b for b in blocks.values() if len(b) > 3])), 3)) for k in range(40)}
+    df = spark.createDataFrame([(list(k), r) for k, rs in blocks.items() for r in rs], "key array<string>, ref_id long")
+    assert as_sets(B.purge_subsets(df)) == naive_purge(blocks)
+
+
 def test_signature_blocks(spark):
     sigs = spark.createDataFrame([(1, ["A", "B", "C"]), (2, ["A", "B", "C"]), (3, ["A", "D"]), (4, []), (5, [])], "ref_id long, sigs array<string>")
     blocks = signature.exact_blocks(sigs)

@@ -18,6 +18,32 @@ def test_read_records(spark, tmp_path):
     assert [r["ref_id"] for r in S.read_records(spark, path).orderBy("seq").collect()] == ["A1", "A2", "A3"]
 
 
+def test_folders_of_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "b.txt", "id,NAME\n2,late\n4,four\n")
+    write(folder / "a.txt", "id,NAME\n1,one\n2,early\n")
+    write(folder / "c.txt", "id,NAME\n1,uno\n")
+    rows = S.read_records(spark, str(folder)).orderBy("seq").collect()
+    assert [(r["ref_id"], r["tokens"]) for r in rows] == [("1", ["UNO"]), ("2", ["LATE"]), ("4", ["FOUR"])]
+    assert dict(map(tuple, S.read_truth(spark, str(folder)).collect())) == {"1": "uno", "2": "late", "4": "four"}
+    long = write(tmp_path / "long.txt", "id,NAME\n" + "".join(f"{k % 50},v{k}\n" for k in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096b")  # many splits, dealt to tasks by size
+    try:
+        got = dict(map(tuple, S.read_truth(spark, long).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {str(k): f"v{4950 + k}" for k in range(50)}
+
+
+def test_table_records_with_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "a b", 2), (1, "c", 1), (None, "e", 1), (None, None, 2)], "id long, body string, at long")
+    assert sorted(r["tokens"] for r in S.table_records(df, "id", "body").collect()) == [[], ["A", "B"], ["C"], ["E"]]
+    last = {r["ref_id"]: r["tokens"] for r in S.table_records(df, "id", "body", last_by="at").collect()}
+    assert last == {1: ["A", "B"], None: []}
+
+
 def test_read_truth_words_and_tables(spark, tmp_path):
     truth = write(tmp_path / "truth.csv", "RecID,TruthID\n1,a\n2\n3, b \n\n1,c\n")
     assert sorted(map(tuple, S.read_truth(spark, truth).collect())) == [("1", "c"), ("3", "b")]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import key_mean_length, key_size, pair_count
+from weft.session import cut
 
 PRINT = ("size", "x", "y")
 
@@ -46,19 +47,35 @@ def dedup_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.join(first.select("key"), "key", "left_semi").select("key", "ref_id")
 
 
+#: Bits of the member mask that a block is first compared by, 64 to a column.
+MASK = 256
+
+
+def block_masks(blocks: DataFrame) -> DataFrame:
+    """(key, size, m0, m1, ...): a bit for the hash of every member; a subset's bits are among its superset's."""
+    at = F.pmod(F.xxhash64(F.lit("mask"), "ref_id"), F.lit(MASK))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    words = [F.bit_or(F.when(F.floor(at / 64) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(MASK // 64)]
+    return blocks.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *words)
+
+
 def purge_subsets(blocks: DataFrame) -> DataFrame:
     """Blocks that no other block contains; of equal blocks the one with the first key stays.
 
-    A superset of a block shares its rarest member, so candidates come from the blocks of that one member only, and
-    are confirmed by counting the members they share.
+    A superset of a block shares its rarest member, so candidates come from the blocks of that one member only. Masks of
+    all members, made on the map side, refute nearly all of them in the row; the rest are confirmed by counting shared members.
     """
-    unique = dedup_blocks(blocks)
-    sizes = block_sizes(unique)
+    unique = cut(dedup_blocks(blocks))
+    masks = [f"m{w}" for w in range(MASK // 64)]
+    known = unique.join(block_masks(unique), "key")
     rarity = unique.groupBy("ref_id").agg(F.count(F.lit(1)).alias("n"))
-    pivots = unique.join(rarity, "ref_id").groupBy("key").agg(F.min_by("ref_id", F.struct("n", "ref_id")).alias("ref_id")).join(sizes, "key")
-    larger = unique.join(sizes, "key").select(F.col("key").alias("super"), "ref_id", F.col("size").alias("super_size"))
-    candidates = pivots.join(larger, "ref_id").where(F.col("super_size") > F.col("size")).select("key", "size", "super")
-    held = candidates.join(unique, "key").join(unique.select(F.col("key").alias("super"), "ref_id"), ["super", "ref_id"])
+    pivots = known.join(rarity, "ref_id").groupBy("key", "size", *masks).agg(F.min_by("ref_id", F.struct("n", "ref_id")).alias("ref_id"))
+    larger = known.select("ref_id", F.col("key").alias("super"), F.col("size").alias("super_size"), *[F.col(m).alias(f"super_{m}") for m in masks])
+    fits = F.col("super_size") > F.col("size")
+    for m in masks:
+        fits = fits & (F.col(m).bitwiseAND(F.bitwise_not(F.col(f"super_{m}"))) == 0)
+    candidates = cut(pivots.join(larger, "ref_id").where(fits).select("key", "size", "super"))
+    held = candidates.join(unique, "key").join(unique.withColumnRenamed("key", "super"), ["super", "ref_id"])
     contained = held.groupBy("key", "super", "size").agg(F.count(F.lit(1)).alias("shared")).where("shared = size").select("key").distinct()
     return unique.join(contained, "key", "left_anti").select("key", "ref_id")
 

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import adjacent_swap
+from weft.operators.lists import held, replaced
+from weft.operators.tokens import placed_tokens, regrouped
+from weft.session import cut
 
 
 def shortened(word: Column) -> Column:
@@ -49,8 +52,9 @@ def correction_map(
 
 
 def apply_corrections(records: DataFrame, mapping: DataFrame) -> DataFrame:
-    """records with mapped tokens replaced, in place."""
-    placed = records.select("ref_id", F.posexplode_outer("tokens").alias("pos", "token")).join(mapping, "token", "left")
-    fixed = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("standard", "token").alias("token")))
-    grouped = placed.groupBy("ref_id").agg(F.array_sort(F.collect_list(fixed)).alias("ts"))
-    return grouped.select("ref_id", F.transform("ts", lambda t: t["token"]).alias("tokens"))
+    """records with mapped tokens replaced, in place; every row by itself, whatever ids others have."""
+    mapping = cut(mapping.select("token", "standard"))
+    rows = held(mapping)
+    if rows is not None:
+        return records.select("ref_id", replaced(records, F.col("tokens"), {r["token"]: r["standard"] for r in rows}).alias("tokens"))
+    return regrouped(placed_tokens(records).join(mapping, "token", "left"), F.coalesce("standard", "token"))

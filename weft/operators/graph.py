@@ -51,12 +51,29 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
     return left.join(right, "key").where(F.col("a") < F.col("b"))
 
 
+def sampled_pairs(blocks: DataFrame, sample_cap: int = 200) -> DataFrame:
+    """(key, a, b): sample_cap pairs of every block, all pairs of a block that has no more.
+
+    Members are numbered by a hash; pair p of members i < j has the number p = j (j - 1) / 2 + i, and equally spaced numbers
+    are drawn. So at most sample_cap rows a block are made, not the square of its size.
+    """
+    order = Window.partitionBy("key").orderBy(F.md5(F.col("ref_id").cast("string")), "ref_id")
+    placed = blocks.select("key", "ref_id", (F.row_number().over(order) - 1).cast("long").alias("i"))
+    total = pair_count("size")
+    drawn = F.least(total, F.lit(sample_cap).cast("long"))
+    numbers = F.transform(F.sequence(F.lit(0).cast("long"), drawn - 1), lambda k: F.floor(k * total / drawn).cast("long"))
+    picked = block_sizes(blocks).where("size > 1").select("key", F.explode(numbers).alias("p"))
+    j = F.floor((1 + F.sqrt(1 + 8 * F.col("p").cast("double"))) / 2).cast("long")
+    pairs = picked.withColumn("j", j).withColumn("i", F.col("p") - F.col("j") * (F.col("j") - 1) / 2)
+    pairs = pairs.select("key", F.col("i").cast("long").alias("i"), "j")
+    first = pairs.join(placed.withColumnRenamed("ref_id", "x"), ["key", "i"]).select("key", F.col("j").alias("i"), "x")
+    both = first.join(placed.withColumnRenamed("ref_id", "y"), ["key", "i"])
+    return both.select("key", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def block_density(blocks: DataFrame, records: DataFrame, sample_cap: int = 200) -> DataFrame:
-    """(key, density): mean similarity over a block's pairs; of larger blocks over sample_cap pairs of smallest hash."""
-    pairs = block_pairs(blocks)
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("a", "b"), "a", "b"))
-    sampled = pairs.withColumn("rank", rank).where(F.col("rank") <= sample_cap).drop("rank")
-    return pair_similarity(sampled, records).groupBy("key").agg(F.avg("jaccard").alias("density"))
+    """(key, density): mean similarity over a block's pairs; of larger blocks over sample_cap pairs by hash order."""
+    return pair_similarity(sampled_pairs(blocks, sample_cap), records).groupBy("key").agg(F.avg("jaccard").alias("density"))
 
 
 def contributions(
@@ -85,19 +102,25 @@ def contributions(
 
 def arcs_graph(
     blocks: DataFrame, records: DataFrame, weighting: str = "uniform", corpus_size: int | None = None,
-    max_block_pair_cost: int | None = None, factors: ArcsFactors = ArcsFactors(),
+    max_block_pair_cost: int | None = None, factors: ArcsFactors = ArcsFactors(), least: float | None = None,
 ) -> DataFrame:
-    """(a, b, w), a < b: summed contributions of shared blocks, times (1 - s) + s * jaccard for s = pair_sim_weight."""
+    """(a, b, w), a < b: summed contributions of shared blocks, times (1 - s) + s * jaccard for s = pair_sim_weight.
+
+    With least, only edges of that weight or more (to nine decimals). As the similarity can only lower a weight, sums below it
+    go before any record's tokens are sent to an edge.
+    """
     weights = contributions(blocks, records, weighting, corpus_size, max_block_pair_cost, factors)
     members = blocks.join(weights, "key")
     left = members.select("key", F.col("ref_id").alias("a"), "c")
     right = members.select("key", F.col("ref_id").alias("b"))
     edges = left.join(right, "key").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum("c").alias("w"))
+    strong = F.lit(True) if least is None else F.round("w", 9) >= least
+    edges = edges.where(strong)
     s = factors.pair_sim_weight
     if s <= 0:
         return edges
     similar = pair_similarity(edges, records)
-    return similar.select("a", "b", (F.col("w") * (1.0 - s + s * F.col("jaccard"))).alias("w"))
+    return similar.select("a", "b", (F.col("w") * (1.0 - s + s * F.col("jaccard"))).alias("w")).where(strong)
 
 
 def edge_histogram(edges: DataFrame, buckets: int = 10) -> DataFrame:
@@ -213,8 +236,7 @@ def cluster_records(
 ) -> DataFrame:
     """(ref_id, root): components of the edges of weight tau or more, all records kept, sparse ones split."""
     corpus = records.count() if weighting == "idf" else None
-    edges = arcs_graph(blocks, records, weighting, corpus, max_block_pair_cost, factors)
-    kept = cut(edges.where(F.round("w", 9) >= tau))
+    kept = cut(arcs_graph(blocks, records, weighting, corpus, max_block_pair_cost, factors, tau))
     clusters = label_components(records.select("ref_id"), kept.select("a", "b"))
     return split_by_density(cut(clusters), kept, density_floor, density_min_size) if density_floor > 0 else clusters
 

@@ -2,6 +2,9 @@
 
 Frequencies are grouped aggregations that combine on the map side. Joining occurrences with frequencies shuffles on the token;
 a frequent token's rows are split by adaptive execution, and gates with an upper bound drop it by the join itself.
+
+Records are rows (ref_id, tokens). Rows that share an id, or have none, count as records of their own here; the blocks made of
+them then repeat the id, and pairs, which need a < b, leave null ids out. A reader that must keep one row per id says so.
 """
 
 from __future__ import annotations
@@ -10,19 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import is_number
+from weft.operators.lists import held, without
 from weft.session import cut
 
-BROADCAST_TOKENS = 200_000
+
+def _exploded(records: DataFrame, tokens: Column) -> DataFrame:
+    # An inner explode would make the optimizer test the list for emptiness first, and so split every text twice.
+    return records.select("ref_id", F.explode_outer(tokens).alias("token")).where(F.col("token").isNotNull())
 
 
 def occurrences(records: DataFrame) -> DataFrame:
     """(ref_id, token): one row per token of a record, repeats included."""
-    return records.select("ref_id", F.explode("tokens").alias("token"))
+    return _exploded(records, F.col("tokens"))
 
 
 def distinct_tokens(records: DataFrame) -> DataFrame:
     """(ref_id, token): one row per distinct token of a record; no shuffle."""
-    return records.select("ref_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    return _exploded(records, F.array_distinct("tokens"))
 
 
 def term_frequency(records: DataFrame) -> DataFrame:
@@ -46,21 +53,35 @@ def token_statistics(records: DataFrame) -> DataFrame:
 
 
 def remove_tokens(records: DataFrame, dropped: DataFrame) -> DataFrame:
-    """records without the tokens of dropped(token); records that lose all keep an empty list. Order and repeats stay."""
-    placed = records.select("ref_id", F.posexplode_outer("tokens").alias("pos", "token"))
-    kept = placed.join(dropped.withColumn("gone", F.lit(True)).select("token", "gone"), "token", "left")
-    kept_tokens = F.array_sort(F.collect_list(F.when(F.col("gone").isNull() & F.col("token").isNotNull(), F.struct("pos", "token"))))
-    return kept.groupBy("ref_id").agg(F.transform(kept_tokens, lambda s: s["token"]).alias("tokens"))
+    """records without the tokens of dropped(token); records that lose all keep an empty list. Order and repeats stay.
 
+    Every row is changed by itself, whatever ids others have: rows of equal or null ids stay apart, in number and content. A dropped
+    table that is small once counted is looked up in the row; a larger one is joined on the token, rows being numbered first.
+    """
+    dropped = cut(dropped.select("token"))
+    gone = held(dropped)
+    if gone is not None:
+        return records.select("ref_id", without(records, F.col("tokens"), [r["token"] for r in gone]).alias("tokens"))
+    kept = placed_tokens(records).join(dropped.withColumn("gone", F.lit(True)), "token", "left")
+    return regrouped(kept, F.when(F.col("gone").isNull(), F.col("token")))
 
-def remove_frequent_tokens(records: DataFrame, freq: DataFrame, max_frequency: int = 60) -> DataFrame:
-    """Records without tokens of frequency above max_frequency.
 
-    Frequent tokens are counted: up to BROADCAST_TOKENS are broadcast, so that occurrences stay in their task and one row per
-    record is shuffled; more are joined by a shuffle on the token.
-    """
-    dropped = cut(frequent_tokens(freq, max_frequency))
-    return remove_tokens(records, F.broadcast(dropped) if dropped.count() <= BROADCAST_TOKENS else dropped)
+def placed_tokens(records: DataFrame) -> DataFrame:
+    """(row, ref_id, pos, token): one row per token, by a row number that survives recomputation."""
+    rows = cut(records.select(F.monotonically_increasing_id().alias("row"), "ref_id", "tokens"))
+    return rows.select("row", "ref_id", F.posexplode_outer("tokens").alias("pos", "token"))
+
+
+def regrouped(placed: DataFrame, token: Column) -> DataFrame:
+    """(ref_id, tokens) from placed rows, tokens in order, null ones left out."""
+    listed = F.array_sort(F.collect_list(F.when(token.isNotNull(), F.struct("pos", token.alias("token")))))
+    grouped = placed.groupBy("row").agg(F.first("ref_id").alias("ref_id"), listed.alias("ts"))
+    return grouped.select("ref_id", F.transform("ts", lambda t: t["token"]).alias("tokens"))
+
+
+def remove_frequent_tokens(records: DataFrame, freq: DataFrame, max_frequency: int = 60) -> DataFrame:
+    """Records without tokens of frequency above max_frequency."""
+    return remove_tokens(records, frequent_tokens(freq, max_frequency))
 
 
 def frequent_tokens(freq: DataFrame, max_frequency: int = 60) -> DataFrame:

@@ -44,9 +44,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents without stop words, and their token frequencies."""
-    records = documents(spark, sf_dir)
-    kept = cut(remove_frequent_tokens(records, term_frequency(records), MAX_FREQUENCY))
-    return kept, cut(term_frequency(kept))
+    return without_stop_words(documents(spark, sf_dir), MAX_FREQUENCY)
+
+
+def without_stop_words(records: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Records without tokens of more than most occurrences, and the frequencies of the others, which that does not change."""
+    freq = cut(term_frequency(records))
+    return cut(remove_frequent_tokens(records, freq, most)), freq.where(F.col("freq") <= most)
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +60,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    records = parts(spark, sf_dir)
-    kept = cut(remove_frequent_tokens(records, term_frequency(records), PART_FREQUENCY))
-    return kept, cut(term_frequency(kept))
+    return without_stop_words(parts(spark, sf_dir), PART_FREQUENCY)
 
 
 def _tokens(text: str) -> str:
@@ -77,9 +79,9 @@ OCCURRENCES = "occ AS (SELECT ref_id, unnest(tokens) AS token FROM rec), tf AS (
 def kept_sql(base: str, most: int) -> str:
     """rec, tf, then krec (tokens without stop words), kd (distinct tokens of records) and ktf (their frequencies)."""
     return f"""{base}, {OCCURRENCES},
-ktf AS (SELECT token, freq FROM tf WHERE freq <= {most}),
+ktf AS MATERIALIZED (SELECT token, freq FROM tf WHERE freq <= {most}),
 kocc AS (SELECT ref_id, token FROM occ JOIN ktf USING (token)),
-kd AS (SELECT DISTINCT ref_id, token FROM kocc),
+kd AS MATERIALIZED (SELECT DISTINCT ref_id, token FROM kocc),
 krec AS (SELECT r.ref_id, coalesce(k.ts, []) AS tokens FROM rec r LEFT JOIN (SELECT ref_id, list(token ORDER BY token) AS ts FROM kd GROUP BY ref_id) k USING (ref_id))"""
 
 

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one parquet table; only Spark opens the path, so any store that Spark knows will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read one parquet table; only Spark opens the path, so any store that Spark knows will do.
+
+    A table of far fewer files than cores is dealt out to them: one task may read each file, but many share the work on its rows.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * len(df.inputFiles()) <= cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -1,7 +1,8 @@
 """Readers of record, truth, word-list, tabular and run files, and writers of clusters, blocks, metrics and reports.
 
-Everything is read and written through Spark, so paths may lie in any store it knows. Where a later row replaces an earlier
-one of equal id, file order decides: rows carry their partition-wise position, which is in file order.
+Everything is read and written through Spark, so paths may lie in any store it knows. A path may be a folder of files: each file
+has its own header, and files follow each other by name. Where a later row replaces an earlier one of equal id, that order
+decides: a line's place is (file, start of its split, place in the split), whatever way Spark deals splits to tasks.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from weft.functions.text import compress_tokens
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, value): trimmed lines in file order."""
-    lines = spark.read.text(path)
-    return lines.select(F.monotonically_increasing_id().alias("seq"), F.trim(F.regexp_replace("value", r"^\x{FEFF}|[\r\t]+$", "")).alias("value"))
+    """(seq, value): trimmed lines; seq (file, start, line) sorts them in the order of files and of lines within."""
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")
+    )
+    return spark.read.text(path).select(place.alias("seq"), F.trim(F.regexp_replace("value", r"^\x{FEFF}|[\r\t]+$", "")).alias("value"))
 
 
 def _without_header(lines: DataFrame) -> DataFrame:
-    """All lines but the first of each file read as one (a global minimum, not a sort)."""
-    first = lines.agg(F.min("seq").alias("first"))
-    return lines.join(F.broadcast(first), F.col("seq") > F.col("first")).drop("first")  # one row is broadcast
+    """All lines but the first of each file (a minimum per file, not a sort)."""
+    heads = lines.where("seq.start = 0").groupBy(F.col("seq.file").alias("head_of")).agg(F.min("seq.line").alias("head"))
+    return lines.join(heads, (F.col("seq.file") == F.col("head_of")) & (F.col("seq.line") == F.col("head")), "left_anti")
 
 
 def _last_by(rows: DataFrame, key: str) -> DataFrame:
@@ -36,7 +39,7 @@ def _last_by(rows: DataFrame, key: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """(ref_id, tokens, seq) of a delimited file with a header: id before the first delimiter, the rest is one body.
 
-    Lines that are blank or lack the delimiter are skipped. A repeated id keeps its first place and its last body.
+    Lines that are blank or lack the delimiter are skipped. A repeated id keeps its first place and its last body. seq orders rows.
     """
     lines = _without_header(_numbered_lines(spark, path)).where((F.col("value") != "") & F.contains("value", F.lit(delimiter)))
     at = F.instr("value", delimiter)
@@ -45,8 +48,15 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFr
     return last.select("ref_id", compress_tokens("body", delimiter).alias("tokens"), F.col("first_seq").alias("seq"))
 
 
-def table_records(df: DataFrame, id_col: str, text_col: str, limit: int | None = None) -> DataFrame:
-    """(ref_id, tokens) of a table; limit keeps the first so many tokens of each record."""
+def table_records(df: DataFrame, id_col: str, text_col: str, limit: int | None = None, last_by: str | None = None) -> DataFrame:
+    """(ref_id, tokens) of a table; limit keeps the first so many tokens of each record.
+
+    A table has no order of its own, so rows of equal or null ids stay records of their own. With last_by, a column that orders
+    them, the last row of each id replaces the others, as in a file.
+    """
+    if last_by is not None:
+        newest = df.groupBy(F.col(id_col)).agg(F.max_by(F.struct(F.col(text_col).alias("text")), F.struct(F.col(last_by), F.col(text_col))).alias("r"))
+        return table_records(newest.select(F.col(id_col), F.col("r.text").alias("text")), id_col, "text", limit)
     tokens = compress_tokens(F.coalesce(F.col(text_col), F.lit("")))
     return df.select(F.col(id_col).alias("ref_id"), (F.slice(tokens, 1, limit) if limit else tokens).alias("tokens"))
 
