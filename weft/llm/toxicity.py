@@ -5,21 +5,23 @@ it. Filters of several widths slide over the words, max pooling keeps each filte
 text, and a logistic unit on the pooled responses gives the score. Because the filters are linear, a word's
 contribution to every filter position is computed once per distinct word and then looked up.
 
-Training uses labelled rows only: at most max_rows of each class, those of smallest id hash, and of these only texts of
-at most max_chars characters (both are documented parameters that bound the driver's memory, whatever the table's size).
-Scores refer to the class shares among all labelled training rows. Thresholds are calibrated for each language on every labelled
-row, whatever its length, of the fifth of ids kept out of the gradient steps, so at the true class shares: their scores are
-counted by thousandths of log odds, and only the counts reach the driver. They shrink to the global threshold where a
-language has few of them; language enters only the decision, never the score.
+Training uses whole texts of labelled rows: at most max_rows ids of each class, those of smallest id hash, and one row of an id,
+that of smallest text hash, so max_rows bounds the texts on the driver whatever the table's size. One id in KEPT_OUT takes no
+part. Scores refer to the class shares among all labelled training rows. Thresholds are calibrated for each language on every
+labelled row of the ids kept out, so on scores of texts that the very network has not seen, at the true class shares: the
+scores are counted by thousandths of log odds, and only the counts reach the driver. They shrink to the global threshold where a
+language has few toxic rows, and that is THRESHOLD where they lack a class; language enters only the decision, never the score.
 
 Defined cases: null and empty texts, and texts without a word, get the score of no evidence. Rows without a label do not
-train; nor do labels without a text. Without labelled rows of both classes every score is 0. Repeated rows give
-repeated results; an empty table gives an empty result; other columns, whatever their names, pass through.
+train; nor do labels without a text. An id labelled twice counts as toxic if any label says so. Without labelled rows of both
+classes to train on every score is 0. A score equal to a threshold is at it: flagged, and rejected. Repeated rows give repeated
+results; an empty table gives an empty result; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,7 +38,9 @@ PREFIXES = (4, 5, 6)
 #: ASCII letters lower-cased, digits kept, other ASCII blanked; bytes of other letters kept.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Distinct words a worker remembers before it starts anew.
-MEMO = 40_000
+MEMO = 100_000
+#: Words that go through the filters together.
+TOGETHER = 16_384
 THRESHOLD = 0.3
 #: One in so many ids is kept out of the gradient steps, to calibrate thresholds.
 KEPT_OUT = 5
@@ -60,28 +64,42 @@ class Network:
     biases: dict[int, np.ndarray]
     out: np.ndarray
     bias: float
-    shift: float = 0.0
+    shift: float = 0.0  # added to the log odds, so that scores refer to the true class shares
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = THRESHOLD
 
     def table(self, rows: np.ndarray) -> np.ndarray:
         """[word, position and filter] contributions of words given by their embedding rows."""
-        vectors = self.embeddings[rows].sum(axis=1)
-        return np.concatenate([vectors @ self.kernels[w][k] for w in WIDTHS for k in range(w)], axis=1)
-
-    def pooled(self, responses: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Max-pooled responses of one text (words in order, padded by two empty words on either side) and where they were."""
+        vectors = self.embeddings.take(rows[:, 0], axis=0)
+        for k in range(1, rows.shape[1]):
+            vectors += self.embeddings.take(rows[:, k], axis=0)
+        return vectors @ np.concatenate([self.kernels[w][k] for w in WIDTHS for k in range(w)], axis=1)
+
+    def pooled(self, responses: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """[text, filter] strongest responses, for consecutive texts of which each starts at a row of starts (its words in
+        order, padded by two empty words on either side); and what where() finds their rows from."""
+        ends = np.append(starts[1:], len(responses))
         best, places, column = [], [], 0
         for w in WIDTHS:
-            n = len(responses) - w + 1
-            total = responses[:n, column : column + FILTERS]
+            total = responses[:, column : column + FILTERS].copy()
             for k in range(1, w):
-                total = total + responses[k : n + k, column + k * FILTERS : column + (k + 1) * FILTERS]
+                total[:-k] += responses[k:, column + k * FILTERS : column + (k + 1) * FILTERS]
+                total[ends - k] = -np.inf  # the window would leave its text
             column += w * FILTERS
-            place = total.argmax(axis=0)
-            best.append(total[place, np.arange(FILTERS)] + self.biases[w])
-            places.append(place)
-        return np.concatenate(best), places
+            top = np.maximum.reduceat(total, starts, axis=0)
+            best.append(top + self.biases[w])
+            places.append((total, top))
+        return np.concatenate(best, axis=1), places
+
+    @staticmethod
+    def where(places: list[tuple[np.ndarray, np.ndarray]], starts: np.ndarray) -> list[np.ndarray]:
+        """Of every width, the first row at which a text's filter had its strongest response."""
+        found = []
+        for total, top in places:
+            lengths = np.diff(np.append(starts, len(total)))
+            rows = np.where(total == np.repeat(top, lengths, axis=0), np.arange(len(total))[:, None], len(total))
+            found.append(np.minimum.reduceat(rows, starts, axis=0))
+        return found
 
 
 def initial(seed: int = 7) -> Network:
@@ -121,9 +139,52 @@ def _odds(docs: list[np.ndarray], hashed: np.ndarray, labels: np.ndarray) -> np.
     return np.maximum(odds, 0).astype(np.float32)
 
 
+@dataclass
+class Gradients:
+    """Sums over a batch; rows and values list what each embedding row receives."""
+
+    out: np.ndarray
+    bias: float
+    kernels: dict[int, np.ndarray]
+    biases: dict[int, np.ndarray]
+    rows: np.ndarray
+    values: np.ndarray
+
+
+def gradients(net: Network, hashed: np.ndarray, ids: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> Gradients:
+    """Of the log loss summed over a batch: ids are words of consecutive padded texts, hashed their embedding rows. Only pooled
+    positions carry a gradient. A word's responses are computed once a batch."""
+    used, which = np.unique(ids, return_inverse=True)
+    best, places = net.pooled(net.table(hashed[used]).take(which, axis=0), starts)
+    hidden = np.maximum(best, 0)
+    error = (sigmoid(hidden @ net.out + net.bias) - labels).astype(np.float32)
+    back = error[:, None] * net.out * (best > 0)
+    kernels, biases, rows, values = {}, {}, [], []
+    for i, (w, place) in enumerate(zip(WIDTHS, net.where(places, starts))):
+        up = back[:, i * FILTERS : (i + 1) * FILTERS]
+        biases[w] = up.sum(axis=0)
+        kernels[w] = np.empty_like(net.kernels[w])
+        for k in range(w):
+            at = hashed[ids[place + k]]  # [text, filter, hash]
+            kernels[w][k] = np.einsum("tfd,tf->df", net.embeddings[at].sum(axis=2), up)
+            rows.append(at.reshape(-1))
+            values.append(np.repeat(np.einsum("df,tf->tfd", net.kernels[w][k], up).reshape(-1, DIMS), at.shape[2], axis=0))
+    return Gradients(error @ hidden, float(error.sum()), kernels, biases, np.concatenate(rows), np.concatenate(values))
+
+
+def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of consecutive texts, each padded by two zeros on either side, and where each starts."""
+    out = np.zeros(sum(map(len, texts)) + 4 * len(texts), np.int64)
+    starts, at = np.empty(len(texts), np.int64), 0
+    for k, text in enumerate(texts):
+        starts[k] = at
+        out[at + 2 : at + 2 + len(text)] = text
+        at += len(text) + 4
+    return out, starts
+
+
 def fit(texts: list[bytes], labels: np.ndarray, steps: int | None = None, batch: int = 32, seed: int = 7) -> Network:
-    """Gradient steps (by default more for more texts) on batches with as many texts of either class; only pooled
-    positions carry a gradient."""
+    """Gradient steps (by default more for more texts) on batches with as many texts of either class."""
     steps = min(1200, 200 + len(texts) // 4) if steps is None else steps
     net = initial(seed)
     rng = np.random.Generator(np.random.PCG64(seed + 1))
@@ -131,13 +192,13 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int | None = None, batch:
     rows: list[tuple[int, ...]] = [(0,) * (1 + len(PREFIXES))]
     docs = []
     for text in texts:
-        ids = [0, 0]
+        ids = []
         for word in words_of(text):
             if word not in vocabulary:
                 vocabulary[word] = len(rows)
                 rows.append(rows_of(word))
             ids.append(vocabulary[word])
-        docs.append(np.array(ids + [0, 0], np.int32))
+        docs.append(np.array(ids, np.int32))
     hashed = np.array(rows, np.int64)
     net.embeddings[:, 0] = _odds(docs, hashed, labels)
     net.kernels[1][0, :, 0] = 0
@@ -147,40 +208,21 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int | None = None, batch:
     adam = {w: (_Adam(net.kernels[w].shape, 0.01), _Adam((FILTERS,), 0.01)) for w in WIDTHS}
     adam_out, adam_bias = _Adam(net.out.shape, 0.01), _Adam((1,), 0.01)
     squares = np.full(BUCKETS, 1e-4, np.float32)
-    for step in range(steps):
+    for _ in range(steps):
         chosen = np.concatenate([rng.choice(c, batch // 2) for c in classes])
-        g_out, g_bias = np.zeros_like(net.out), np.zeros(1, np.float32)
-        g_kernels = {w: np.zeros_like(net.kernels[w]) for w in WIDTHS}
-        g_biases = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
-        g_rows: list[np.ndarray] = []
-        g_values: list[np.ndarray] = []
-        for d in chosen:
-            words = hashed[docs[d]]
-            best, places = net.pooled(net.table(words))
-            hidden = np.maximum(best, 0)
-            error = sigmoid(float(hidden @ net.out) + net.bias) - labels[d]
-            g_out += error * hidden
-            g_bias += error
-            back = (error * net.out * (best > 0)).astype(np.float32)
-            for i, w in enumerate(WIDTHS):
-                up = back[i * FILTERS : (i + 1) * FILTERS]
-                g_biases[w] += up
-                for k in range(w):
-                    at = words[places[i] + k]
-                    g_kernels[w][k] += net.embeddings[at].sum(axis=1).T * up
-                    g_rows.append(at.reshape(-1))
-                    g_values.append(np.repeat((net.kernels[w][k] * up).T, at.shape[1], axis=0))
+        ids, starts = padded([docs[d] for d in chosen])
+        g = gradients(net, hashed, ids, starts, labels[chosen])
         for w in WIDTHS:
-            adam[w][0].step(net.kernels[w], g_kernels[w] / batch)
-            adam[w][1].step(net.biases[w], g_biases[w] / batch)
-        adam_out.step(net.out, g_out / batch + 1e-4 * net.out)
+            adam[w][0].step(net.kernels[w], g.kernels[w] / batch)
+            adam[w][1].step(net.biases[w], g.biases[w] / batch)
+        adam_out.step(net.out, g.out / batch + 1e-4 * net.out)
         bias = np.array([net.bias], np.float32)
-        adam_bias.step(bias, g_bias / batch)
+        adam_bias.step(bias, np.array([g.bias / batch], np.float32))
         net.bias = float(bias[0])
         # Adagrad by row for the embeddings that pooled positions used.
-        at, which = np.unique(np.concatenate(g_rows), return_inverse=True)
-        summed = np.zeros((len(at), DIMS), np.float32)
-        np.add.at(summed, which, np.concatenate(g_values) / batch)
+        order = np.argsort(g.rows, kind="stable")
+        at, first = np.unique(g.rows[order], return_index=True)
+        summed = np.add.reduceat(g.values[order], first, axis=0) / batch
         squares[at] += (summed * summed).mean(axis=1)
         net.embeddings[at] -= 0.05 * summed / np.sqrt(squares[at])[:, None]
         net.embeddings[0] = 0
@@ -209,42 +251,80 @@ class Scorer:
         self.known[start : start + len(fresh)] = table
         self.places.update(zip(fresh, range(start, start + len(fresh))))
 
+    def scores(self, texts: Iterable[bytes]) -> list[float]:
+        """Texts go through the filters some TOGETHER words at a time. A longer text is cut into pieces that overlap by the widest
+        filter less one word, so no window is lost and memory stays bounded."""
+        out: list[float] = []
+        strongest: list[np.ndarray] = []  # of the pieces since the last flush, per text
+        pieces: list[np.ndarray] = []
+        owner: list[int] = []
+
+        def flush() -> None:
+            if pieces:
+                starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces[:-1]])]).astype(np.int64)
+                best, _ = self.net.pooled(self.known[np.concatenate(pieces)], starts)
+                for k, row in zip(owner, best):
+                    strongest[k] = row if strongest[k] is None else np.maximum(strongest[k], row)
+            pieces.clear()
+            owner.clear()
+
+        waiting = 0
+        for data in texts:
+            words = words_of(data)
+            strongest.append(None)
+            for start in range(0, max(1, len(words)), TOGETHER):
+                if len(self.places) > MEMO:
+                    flush()
+                    waiting = 0
+                    self._restart()
+                piece = words[max(0, start - max(WIDTHS) + 1) : start + TOGETHER]
+                self._learn(piece)
+                ids = np.zeros(len(piece) + 4, np.int64)
+                ids[2 : 2 + len(piece)] = [self.places[w] for w in piece]
+                pieces.append(ids[2 if start else 0 : len(ids) - 2 if start + TOGETHER < len(words) else len(ids)])
+                owner.append(len(strongest) - 1)
+                waiting += len(ids)
+                if waiting > TOGETHER:
+                    flush()
+                    waiting = 0
+        flush()
+        if strongest:
+            z = np.maximum(np.stack(strongest), 0) @ self.net.out + self.net.bias + self.net.shift
+            out = sigmoid(z.astype(np.float64)).tolist()
+        return out
+
     def score(self, data: bytes) -> float:
-        words = words_of(data)
-        strongest = None
-        # Pieces overlap by the widest filter less one word, so no window is lost and memory stays bounded.
-        for start in range(0, max(1, len(words)), 20_000):
-            piece = words[max(0, start - max(WIDTHS) + 1) : start + 20_000]
-            if len(self.places) > MEMO:
-                self._restart()
-            self._learn(piece)
-            ids = np.zeros(len(piece) + 4, np.int64)
-            if piece:
-                ids[2:-2] = [self.places[w] for w in piece]
-            lead, tail = (2 if start else 0), (len(ids) - 2 if start + 20_000 < len(words) else len(ids))
-            best, _ = self.net.pooled(self.known[ids[lead:tail]])
-            strongest = best if strongest is None else np.maximum(strongest, best)
-        return float(sigmoid(float(np.maximum(strongest, 0) @ self.net.out) + self.net.bias + self.net.shift))
-
-
-def sample_of(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int, id_col: str, text_col: str, lang_col: str | None):
-    """Bounded training rows (hash, language, label, text) on the driver and the label counts of all labelled rows.
-
-    Ids are sampled before texts are touched, so the join's small side has at most 2 max_rows rows.
+        return self.scores([data])[0]
+
+
+def labelled_ids(labels: DataFrame, label: str, id_col: str) -> DataFrame:
+    """(__id, __y): one row per labelled id."""
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1))
+    return rows.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
+
+
+def kept_out(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(KEPT_OUT)) == 0
+
+
+def _lang(lang_col: str | None) -> Column:
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col else F.lit("")
+
+
+def sample_of(docs: DataFrame, ids: DataFrame, max_rows: int, id_col: str, text_col: str) -> list[tuple[int, int, bytes]]:
+    """Bounded training rows (hash, label, whole text) on the driver.
+
+    Ids are sampled before texts are touched, so the join's small side has at most 2 max_rows rows; of the rows that share an
+    id one is kept, so no more come back.
     """
-    ids = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).select(
-        F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y"), F.xxhash64(F.col(id_col).cast("string")).alias("__h")
-    )
-    counts = {row["__y"]: row["n"] for row in ids.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    free = ids.where(~kept_out("__id")).withColumn("__h", F.xxhash64(F.col("__id").cast("string")))
     chosen = None
     for y in (0, 1):
-        part = ids.where(F.col("__y") == y).orderBy("__h", "__id").limit(max_rows)
+        part = free.where(F.col("__y") == y).orderBy("__h", "__id").limit(max_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    text = utf8(text_col)
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col else F.lit("")
-    read = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), lang.alias("__lang")).where(F.octet_length("__text") <= max_chars)
-    rows = read.join(F.broadcast(chosen), "__id").select("__h", "__lang", "__y", "__text").collect()
-    return sorted((r["__h"], r["__lang"], r["__y"], bytes(r["__text"])) for r in rows), counts
+    read = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where(F.col("__text").isNotNull())
+    found = read.join(F.broadcast(chosen), "__id").groupBy("__id", "__h", "__y").agg(F.min_by("__text", F.struct(F.xxhash64("__text"), "__text")).alias("__text"))
+    return sorted((r["__h"], r["__y"], r["__text"].encode()) for r in found.collect())
 
 
 def best_threshold(scores: np.ndarray, truth: np.ndarray, counts: np.ndarray | None = None) -> float | None:
@@ -262,49 +342,43 @@ def best_threshold(scores: np.ndarray, truth: np.ndarray, counts: np.ndarray | N
     return float((scores[order[k]] + below) / 2)
 
 
-def kept_out_scores(
-    docs: DataFrame, labels: DataFrame, net: Network, label: str, id_col: str, text_col: str, lang_col: str | None
-) -> list[tuple[str, int, float, int]]:
+def kept_out_scores(docs: DataFrame, ids: DataFrame, net: Network, id_col: str, text_col: str, lang_col: str | None) -> list[tuple[str, int, float, int]]:
     """(language, label, score, rows) of all labelled rows kept out of training, counted by thousandths of log odds."""
-    out = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(KEPT_OUT)) == 0
-    ids = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & out(id_col)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y"))
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col else F.lit("")
-    texts = docs.where(out(id_col)).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), lang.alias("__lang"))
-    read = texts.where(F.col("__text").isNotNull()).join(ids, "__id")
+    texts = docs.where(kept_out(id_col)).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), _lang(lang_col).alias("__lang"))
+    read = texts.where(F.col("__text").isNotNull()).join(ids.where(kept_out("__id")), "__id")
     scored = read.select("__lang", "__y", score_column(docs, net, "__text").alias("__s"))
     counted = scored.groupBy("__lang", "__y", F.round(F.ln(F.col("__s") / (1 - F.col("__s"))), 3).alias("__z")).agg(F.count(F.lit(1)).alias("n"))
     return sorted((r["__lang"], r["__y"], float(sigmoid(r["__z"])), r["n"]) for r in counted.collect())
 
 
+def calibrate(net: Network, checked: list[tuple[str, int, float, int]], enough: int = 50) -> None:
+    """Set the thresholds of highest F1 over checked rows, THRESHOLD where these lack a class. A language's is drawn towards the
+    global one, the more the fewer toxic rows it has beside enough."""
+    real, scores, each = (np.array([row[k] for row in checked]) for k in (1, 2, 3))
+
+    def shrunk(own: np.ndarray, towards: float, beside: int) -> float:
+        found = best_threshold(scores[own], real[own], each[own])
+        toxic = float((real * each)[own].sum())
+        return towards if found is None else float((toxic * found + beside * towards) / (toxic + beside))
+
+    net.threshold = shrunk(np.ones(len(checked), bool), THRESHOLD, 0)
+    net.thresholds = {name: shrunk(np.array([row[0] == name for row in checked]), net.threshold, enough) for name in sorted({row[0] for row in checked})}
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 2500, max_chars: int = 20_000,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", enough: int = 50,
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 2500,
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
 ) -> Network | None:
-    """A network with calibrated shift and thresholds; None without labelled texts of both classes."""
-    rows, counts = sample_of(docs, labels, label, max_rows, max_chars, id_col, text_col, lang_col)
-    truth = np.array([y for _, _, y, _ in rows], np.int64)
+    """A network with calibrated shift and thresholds; None without labelled texts of both classes to train on."""
+    ids = labelled_ids(labels, label, id_col)
+    rows = sample_of(docs, ids, max_rows, id_col, text_col)
+    truth = np.array([y for _, y, _ in rows], np.int64)
     if not rows or truth.all() or not truth.any():
         return None
-    kept = np.flatnonzero([h % KEPT_OUT != 0 for h, _, _, _ in rows])
-    apart = len({*truth[kept]}) == 2 and len(kept) < len(rows)
-    kept = kept if apart else np.arange(len(rows))
-    net = fit([rows[k][3] for k in kept], truth[kept])
-    net.shift = float(np.log(max(1, counts.get(1, 0)) / max(1, counts.get(0, 0))))  # batches had equal shares
-    checked = kept_out_scores(docs, labels, net, label, id_col, text_col, lang_col) if apart else []
-    if len({y for _, y, _, _ in checked}) < 2:  # too few labelled rows to keep some apart
-        net = fit([row[3] for row in rows], truth) if apart else net
-        net.shift = float(np.log(max(1, counts.get(1, 0)) / max(1, counts.get(0, 0))))
-        scorer = Scorer(net)
-        checked = [(lang, y, scorer.score(text), 1) for _, lang, y, text in rows]
-    real, scores, each = (np.array([row[k] for row in checked]) for k in (1, 2, 3))
-    net.threshold = best_threshold(scores, real, each) or THRESHOLD
-    for name in sorted({row[0] for row in checked}):
-        own = np.array([row[0] == name for row in checked])
-        found = best_threshold(scores[own], real[own], each[own])
-        if found is not None:
-            toxic = float((real * each)[own].sum())
-            weight = toxic / (toxic + enough)
-            net.thresholds[name] = float(weight * found + (1 - weight) * net.threshold)
+    net = fit([text for _, _, text in rows], truth)
+    counts = {row["__y"]: row["n"] for row in ids.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    net.shift = float(np.log(counts[1] / counts[0]))  # batches had equal shares
+    calibrate(net, kept_out_scores(docs, ids, net, id_col, text_col, lang_col))
     return net
 
 
@@ -319,7 +393,7 @@ def score_column(df: DataFrame, net: Network | None, text: str | Column = "text"
             return pa.array(np.zeros(len(texts)))
         if not made:
             made.append(Scorer(sent.value))
-        return pa.array([made[0].score(x.as_py()) for x in texts], pa.float64())
+        return pa.array(made[0].scores(x.as_py() for x in texts), pa.float64())
 
     return toxicity.asNondeterministic()(utf8(text))  # so that a filter on it does not run it twice
 
