@@ -4,8 +4,12 @@ A tokeniser splits markup from text; a tree builder opens and closes elements by
 block closes a paragraph, an item its predecessor, a cell the cell before it, and so on); visibility rules drop what a browser
 would not show; a renderer then walks the tree and emits all visible text with the layout's line structure: blank
 lines around paragraphs, headings, lists and tables, one line per block, bullets and numbers with indents, preformatted
-text as it stands, and tables with their cells aligned in columns. The walk keeps its own stack, so nesting of any depth
-is fine, and every step is linear in the page apart from nested tables, which are laid out once per level.
+text as it stands, and tables with their cells aligned in columns. A cell keeps the lines of its content, so paragraphs, lists and
+tables inside it stay what they are; a row is as high as its highest cell. The walk keeps its own stack, so nesting of any
+depth is fine. Every step is linear in the page apart from nested tables, whose lines are laid out once per level: columns that a
+span passes over cost nothing, and a line wider than WIDE runs over its column instead of padding all others.
+
+Of a drop-down list the chosen option shows, else the first; of a list box all. Text in drawings and formulas shows.
 
 Defined cases: null or empty markup gives an empty text; unclosed tags and comments run to the end of the page; stray end tags
 are ignored. Repeated rows give repeated results and an empty table an empty result; other columns are not read.
@@ -15,6 +19,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from itertools import accumulate
 import unicodedata
 
 import pyarrow as pa
@@ -35,7 +41,10 @@ HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)",
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas select svg math".split())
+HIDDEN = frozenset(
+    "head script style template title noscript iframe noembed noframes datalist object audio video canvas "
+    "defs desc metadata symbol clippath marker annotation annotation-xml".split()
+)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
@@ -59,6 +68,10 @@ CLOSES = {
     "thead": (SECTIONS | {"caption", "colgroup"}, frozenset(["table"])),
     "tfoot": (SECTIONS | {"caption", "colgroup"}, frozenset(["table"])),
 }
+#: Shown apart from the text around them, in the same line.
+APART = frozenset("select button text".split())
+#: Widest line, in columns, that the other cells of its column are padded to.
+WIDE = 160
 P_BARRIER = CELLS | frozenset("table caption button object".split())
 
 
@@ -127,10 +140,14 @@ class Builder:
         here = self.open[-1].name
         if name in CELLS and here in SECTIONS | {"table"}:
             self._push("tr")
-        node = self._push(name, attributes)
-        if name in VOID or attributes.endswith("/") and node.name in ("svg", "math"):
+        self._push(name, attributes)
+        if name in VOID or self.closed(attributes):
             self._pop(len(self.open) - 1)
 
+    def closed(self, attributes: str) -> bool:
+        """Whether a tag with these attributes closes itself, as tags of drawings and formulas may."""
+        return attributes.endswith("/") and bool(self.count.get("svg") or self.count.get("math"))
+
     def end(self, name: str) -> None:
         if name == "br":
             return self.start("br", "")
@@ -157,9 +174,10 @@ def parse(markup: str) -> Node:
         if found["close"]:
             builder.end(found["close"].lower())
         elif found["open"]:
-            name = found["open"].lower()
-            builder.start(name, found["attributes"] or "")
-            if name in RAW:
+            name, attributes = found["open"].lower(), found["attributes"] or ""
+            whole = builder.closed(attributes)
+            builder.start(name, attributes)
+            if name in RAW and not whole:
                 stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(markup, at)
                 content = markup[at : stop.start() if stop else len(markup)]
                 builder.text(html.unescape(content) if name in ("textarea", "title") else content)
@@ -255,7 +273,7 @@ class Buffer:
 class Renderer:
     def __init__(self) -> None:
         self.buffers = [Buffer()]
-        self.tables: list[list[list[tuple[str, int]]]] = []
+        self.tables: list[list[list[tuple[list[str], int]]]] = []
         self.lists: list[list] = []  # [ordered, next number]
         self.pre = 0
         self.undo: list[tuple] = []
@@ -270,6 +288,10 @@ class Renderer:
         name, out = node.name, self.buffers[-1]
         if name == "br":
             return out.hard_break()
+        if name in APART:
+            out.space = True
+        if name == "select":
+            choose(node)
         if name in ("td", "th") and self.tables:
             self.buffers.append(Buffer())
             self.undo.append((self.lists, self.pre))
@@ -308,16 +330,19 @@ class Renderer:
     def leave(self, node: Node) -> None:
         name = node.name
         if name in ("td", "th") and self.tables:
-            lines = self.buffers.pop().result()
+            cell = [line.rstrip() for line in self.buffers.pop().result()]
             self.lists, self.pre = self.undo.pop()
-            cell = " ".join(filter(None, (SPACE.sub(" ", line).strip() for line in lines)))
+            while cell and not cell[-1]:
+                cell.pop()
             span = node.attribute("colspan") if node.attributes else None
             if not self.tables[-1]:
                 self.tables[-1].append([])
             self.tables[-1][-1].append((cell, min(1000, int(span)) if span and span.isdecimal() and len(span) < 6 and int(span) else 1))
             return
         out = self.buffers[-1]
-        if name == "table":
+        if name in APART:
+            out.space = True
+        elif name == "table":
             out.whole(aligned(self.tables.pop()))
         elif name == "li":
             out.line()
@@ -337,26 +362,56 @@ class Renderer:
                 out.blank = True
 
 
-def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows with every column padded to its widest cell; a cell over several columns does not widen them."""
-    rows = [row for row in rows if any(text for text, _ in row)]
-    widths: list[int] = []
+def choose(select: Node) -> None:
+    """Hide the options that a drop-down list does not show, and put those of a list box on lines of their own."""
+    options, work = [], list(reversed(select.children))
+    while work:
+        node = work.pop()
+        if isinstance(node, Node):
+            if node.name == "option":
+                options.append(node)
+            else:
+                work.extend(reversed(node.children))
+    size = select.attribute("size") or ""
+    if select.attribute("multiple") is not None or size.isdecimal() and len(size) < 6 and int(size) > 1:
+        for node in options:
+            node.name = "div"
+        return
+    chosen = next((node for node in reversed(options) if node.attribute("selected") is not None), options[0] if options else None)
+    for node in options:
+        if node is not chosen:
+            node.attributes += " hidden"
+
+
+def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+    """Lines of rows of cells (lines, span), every column padded to its widest line; a cell over several columns does not widen them."""
+    rows = [row for row in rows if any(lines for lines, _ in row)]
+    if all(len(row) == 1 for row in rows):
+        return [line for row in rows for line in row[0][0]]
+    wide: dict[int, int] = {}  # of the columns that some cell starts in
     for row in rows:
         column = 0
-        for text, span in row:
-            widths.extend([0] * (column + span - len(widths)))
-            if span == 1:
-                widths[column] = max(widths[column], width(text))
+        for lines, span in row:
+            room = max((width(line) for line in lines), default=0) if span == 1 else 0
+            wide[column] = max(wide.get(column, 0), room if room <= WIDE else 0)
             column += span
-    lines = []
+    columns = sorted(wide)
+    ends = list(accumulate((wide[c] + 2 for c in columns), initial=0))  # where each of columns begins
+    out = []
     for row in rows:
-        column, line = 0, ""
-        for text, span in row:
-            room = sum(widths[column : column + span]) + 2 * (span - 1)
-            line += text + " " * (max(0, room - width(text)) + 2)
+        column, places = 0, []
+        for lines, span in row:
+            places.append((lines, ends[bisect_left(columns, column)]))
             column += span
-        lines.append(line.rstrip(" "))
-    return lines
+        for k in range(max(len(lines) for lines, _ in row)):
+            line, used = [], 0
+            for lines, at in places:
+                if k < len(lines) and lines[k]:
+                    gap = max(at - used, 2 if used else 0)
+                    line.append(" " * gap + lines[k])
+                    used += gap + width(lines[k])
+            out.append("".join(line))
+    return out
 
 
 def extract(markup: str) -> str:
