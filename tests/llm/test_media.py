@@ -50,6 +50,48 @@ def test_types_and_carving(data, kind):
     assert M.sniff(junk + data)[0] == M.UNKNOWN
 
 
+def section(base: int, extra: bytes = b"") -> bytes:
+    """A cross-reference table at an offset, and the section end that names it."""
+    return b"xref\n0 1\ntrailer<<>>" + extra + b"\nstartxref\n" + str(base).encode() + b"\n%%EOF\n"
+
+
+def test_updated_embedded_and_linearised_files_carve_whole():
+    first = b"%PDF-1.4\n1 0 obj\nendobj\n"
+    whole = first + section(len(first))
+    updated = whole + b"2 0 obj\nendobj\n"
+    updated += section(len(updated), b"/Prev")
+    length = len(updated.rstrip(b"\n"))
+    assert M.spans(updated) == [(0, length, "application/pdf")]
+    assert M.spans(b"junk" + updated + whole)[0] == (4, length, "application/pdf") and len(M.spans(b"junk" + updated + whole)) == 2
+    outer = b"%PDF-1.7\n1 0 obj\nstream\n" + updated + b"endstream\n"
+    outer += section(len(outer))
+    assert M.spans(outer) == [(0, len(outer.rstrip(b"\n")), "application/pdf")]
+    head = b"%PDF-1.5\n9 0 obj<</Linearized 1>>endobj\n"
+    line = head + b"xref\n0 1\ntrailer<<>>\nstartxref\n0\n%%EOF\n1 0 obj\nendobj\n" + section(len(head))
+    assert M.spans(line) == [(0, len(line.rstrip(b"\n")), "application/pdf")]
+    assert M.spans(first + b"startxref\n3\n%%EOF") == []
+
+
+def test_false_marks_are_cheap():
+    import time
+
+    start = time.monotonic()
+    assert M.spans(b"%PDF-1.4 %%EOF " * 100_000) == [] and M.spans(b"%PDF-" * 100_000 + b"startxref 7 %%EOF") == []
+    assert M.spans((b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 1 << 20) + b"IHDR") * 100_000) == []
+    assert time.monotonic() - start < 5
+
+
+def test_feature_equals_a_plain_loop():
+    for payload in (b"\0" * 64, bytes(range(256)) * 3, b"text \xff\x80\x7f" * 50):
+        total = energy = crossings = 0
+        for k, x in enumerate(payload):
+            total += x
+            energy += (x - 128) ** 2
+            crossings += k > 0 and (x >= 128) != (payload[k - 1] >= 128)
+        kind, found = M.sniff(M.store(payload))
+        assert M.describe(kind, payload) == f"audio/wav;rate=8000;samples={len(payload)};sum={total};energy={energy};crossings={crossings}"
+
+
 def test_corruption_is_noticed():
     broken = bytearray(png())
     broken[40] ^= 1
@@ -67,6 +109,7 @@ def test_digests(spark):
         r = got[doc]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(padded[-64:]), len(file), hashlib.sha256(file).hexdigest())
+        assert r["feature"] == M.describe("audio/wav", padded)
     assert got[1]["feature"] == got[4]["feature"] and got[2]["media_sha256"] == got[3]["media_sha256"]
     assert M.media_digests(df.limit(0)).count() == 0
 

@@ -7,14 +7,17 @@ taken outermost first, so that magic bytes inside another medium's samples do no
 
 Defined cases: a null payload counts as empty; an empty payload is stored as one padding unit; bytes that confirm no
 format have type "application/octet-stream" and nothing carved. Equal inputs give equal outputs, repeated rows repeated
-results, an empty table an empty result. Memory per value is a small multiple of its size.
+results, an empty table an empty result. media_digests reads no other columns, whatever their names, and correct_types passes
+them through. Memory per value is a small multiple of its size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import ahocorasick
@@ -74,7 +77,7 @@ def _png(data: bytes, at: int) -> int | None:
     while here + 12 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, here)
         stop = here + 12 + size
-        if stop > len(data) or first and kind != b"IHDR":
+        if stop > len(data) or first and (size, kind) != (13, b"IHDR"):
             return None
         if zlib.crc32(data[here + 4 : stop - 4]) != struct.unpack_from(">I", data, stop - 4)[0]:
             return None
@@ -132,10 +135,30 @@ def _jpeg(data: bytes, at: int) -> int | None:
     return here + 2 - at if scanned and data[here : here + 2] == b"\xff\xd9" else None
 
 
+#: The end of a PDF section: where its cross-reference section starts, counted from the file's first byte.
+SECTION_END = re.compile(rb"startxref\s+(\d{1,10})\s+%%EOF")
+#: What a cross-reference section starts with: a table, or an object that holds it.
+SECTION = re.compile(rb"xref\b|\d{1,10}\s+\d{1,5}\s+obj\b")
+
+
+@lru_cache(maxsize=1)
+def _section_ends(data: bytes) -> list[tuple[int, int, int]]:
+    """(place, offset it names, end) of all PDF section ends; looked for once, however many headers there are."""
+    return [(m.start(), int(m[1]), m.end()) for m in SECTION_END.finditer(data)]
+
+
 def _pdf(data: bytes, at: int) -> int | None:
-    end = data.find(b"%%EOF", at)
-    start = data.find(b"startxref", at)
-    return end + 5 - at if 0 <= start < end else None
+    """The end of the last section. An update is appended and names a cross-reference section behind the section before
+    it; a linearised file starts with a section that names none, and the next one points back into it. Section ends that fit
+    neither belong to other files: embedded ones, or ones that follow."""
+    ends = _section_ends(data)
+    end, opening = 0, False
+    for place, offset, stop in ends[bisect_left(ends, (at,)) :]:
+        if end == 0 and offset == 0 and not opening:
+            opening = data.find(b"/Linearized", at, at + 1024) >= 0
+        elif (end or at) <= at + offset < place and SECTION.match(data, at + offset):
+            end = stop
+    return end - at if end else None
 
 
 #: Magic bytes, their offset in the file, type, validator.
