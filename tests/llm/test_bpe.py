@@ -90,6 +90,14 @@ def test_columns_and_documents(spark):
     assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in bpe.encode_documents(df, PATH, PATTERN).collect())
 
 
+@pytest.mark.parametrize("pattern", [r" ?\p{L}+| ?[^\s\p{L}]+[\r\n]*|\s+", r"(\w+)|[^\w]", r"\S+\s*", r"(?s:.)"])
+def test_other_patterns_equal_piecewise_encoding(codec, pattern):
+    other = bpe.Codec(codec.tokens, pattern)
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=codec.rank, special_tokens={})
+    for text in ("hello!\n\nworld", "a  b\t\nc don't", " x" * 50, "1 2.3,  é中 \n", ""):
+        assert other.encode(text) == library.encode_ordinary(text)
+
+
 def test_broken_rank_file():
     with pytest.raises(ValueError):
         bpe.parse_ranks(b"YQ== 0\nYg== 2\n")

@@ -7,9 +7,10 @@ where none fits; a bit per position keeps dead ends from being tried twice. Two
 joint bytes would leave exactly these two, which is decided by undoing merges on both sides and memoised. Every
 prefix of an exact encoding is exact, hence the result equals repeated lowest-rank merging.
 
-Texts are cut where the pre-tokenisation pattern can never match across: before a blank that is followed by a
-non-blank, and around longer white space. Such chunks repeat a great deal, so a bounded memo maps a chunk to its
-packed ids; the pattern itself runs on chunks that the memo lacks.
+With the pattern CHUNKED, texts are first cut where it can never match across: before a blank that is followed by a
+non-blank, and around longer white space. Such chunks repeat a great deal, so a bounded memo maps a chunk to its packed
+ids; the pattern itself runs on chunks that the memo lacks. Of any other pattern no cuts are known, so it runs over the whole
+text, and the memo holds its matches.
 
 Defined cases: null counts as empty; an empty text has no ids and decodes to no bytes; special tokens are never
 produced, their spelling is ordinary text. Repeated rows give repeated results and an empty table an empty result;
@@ -37,6 +38,8 @@ from weft.llm.text import utf8
 #: White space as the pattern's engine defines it (Unicode's White_Space property).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNKS = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]")
+#: Fixed value: the pattern whose matches never cross the borders of CHUNKS.
+CHUNKED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries a memo may hold before it starts anew; a chunk longer than LONG is not kept. Bounds a worker's memory.
 MEMO, LONG = 250_000, 64
 NONE = -1
@@ -57,6 +60,7 @@ class Codec:
         self.tokens = tokens
         self.rank = {token: k for k, token in enumerate(tokens)}
         self.pattern = regex.compile(pattern)
+        self.chunked = pattern == CHUNKED
         if missing := [b for b in range(256) if bytes([b]) not in self.rank]:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.size = [len(token) for token in tokens]
@@ -151,11 +155,14 @@ class Codec:
                 token = shorter[out.pop()]
                 at -= size[before]
 
+    def _pieces(self, text: str) -> list[str]:
+        return [found[0] for found in self.pattern.finditer(text) if found[0]]
+
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha() or chunk[1:].isalpha() and chunk[0] == " ":
+        if not self.chunked or chunk.isalpha() or chunk[1:].isalpha() and chunk[0] == " ":
             ids = self.piece(chunk.encode())
         else:
-            ids = [k for piece in self.pattern.findall(chunk) for k in self.piece(piece.encode())]
+            ids = [k for piece in self._pieces(chunk) for k in self.piece(piece.encode())]
         unit = self.unit
         packed = b"".join([unit[k] for k in ids])
         if len(chunk) <= LONG:
@@ -167,7 +174,8 @@ class Codec:
     def encode_packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         known, fresh = self.packed.get, self._chunk
-        return b"".join([known(chunk) or fresh(chunk) for chunk in CHUNKS.findall(text)])
+        chunks = CHUNKS.findall(text) if self.chunked else self._pieces(text)
+        return b"".join([known(chunk) or fresh(chunk) for chunk in chunks])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
