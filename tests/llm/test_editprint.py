@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weft.llm import editprint as E
+from weft.llm import slots
 
 
 def brute(text: str) -> bytes:
@@ -171,7 +172,7 @@ def flipped(rng: np.random.Generator, row: bytes, n: int) -> bytes:
 @pytest.mark.parametrize("afforded", [16, 0])
 def test_classes_in_crowded_slots(spark, monkeypatch, afforded):
     """Thousands of members of one slot: a great group of near copies, a chain, strangers that share most bits, pairs, loners."""
-    monkeypatch.setattr(E, "AFFORDED", afforded)
+    monkeypatch.setattr(slots, "AFFORDED", afforded)
     rng = np.random.default_rng(3)
     centre = rng.bytes(E.BITS // 8)
     prints = [flipped(rng, centre, int(rng.integers(1, 40))) for _ in range(1500)]

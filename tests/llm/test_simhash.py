@@ -110,13 +110,95 @@ def test_empty_table(spark):
     assert S.keep_one(empty).count() == 0
 
 
+def lower(text: str | None) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def shingles(text: str | None) -> set:
+    words = lower(text).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def likeness(a: str | None, b: str | None) -> float:
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def test_long_fingerprint_equals_a_plain_count():
+    mask = (1 << 64) - 1
+    for _, text in texts()[:20]:
+        words = lower(text).split()
+        parts = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [" ".join(words)] if words else []
+        bits = []
+        for j in range(1, S.LONG // 64 + 1):
+            hashes = []
+            for part in parts:
+                x = (xxhash.xxh64_intdigest(part.encode(), 42) + j * 0x9E3779B97F4A7C15) & mask
+                x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+                x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+                hashes.append((x ^ x >> 31).to_bytes(8, "little"))
+            for byte in range(8):
+                bits += ["1" if 2 * sum(h[byte] >> 7 - b & 1 for h in hashes) > len(hashes) else "0" for b in range(8)]
+        assert S.long_fingerprint((text or "").encode()) == int("".join(bits), 2).to_bytes(S.LONG // 8)
+
+
+def test_segment_plan():
+    for n in (1, 10**4, 10**6, 10**9):
+        size, count = S.segment_plan(n, 0.8)
+        p = S.differing(0.8)
+        meet = sum(S.math.comb(size, k) * p**k * (1 - p) ** (size - k) for k in range(3))
+        assert 2**size >= 32 * n and 1 - (1 - meet) ** count >= 0.9
+
+
+def test_keep_one_finds_near_texts_and_leaves_others(spark):
+    """Recall by the true likeness of five-word shingles; texts of less than 0.7 stay apart."""
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows, near, far = [], [], []
+    for k in range(200):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(100, 500))]
+        changed = list(words)
+        for _ in range(rng.choice([1, 2, 4, 6, 12, 30])):
+            changed[rng.randrange(len(changed))] = "changed"
+        a, b = " ".join(words), " ".join(changed)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        same = likeness(a, b)
+        near += [(2 * k + 1, same)] if same >= 0.8 else []
+        far += [2 * k + 1] if same < 0.7 else []
+    assert len(near) > 80 and len(far) > 20
+    kept = {r["doc_id"] for r in S.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {2 * k for k in range(200)} <= kept and sum(d in kept for d in far) / len(far) >= 0.97
+    assert sum(d not in kept for d, _ in near) / len(near) >= 0.9
+    assert sum(d not in kept for d, s in near if s > 0.88) >= 0.98 * sum(s > 0.88 for _, s in near)
+
+
+def test_keep_one_of_a_great_group_of_near_copies(spark):
+    rng = random.Random(22)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    words = [rng.choice(vocabulary) for _ in range(400)]
+    rows = []
+    for k in range(1500):
+        changed = list(words)
+        for _ in range(3):
+            changed[rng.randrange(400)] = rng.choice(vocabulary)
+        rows.append((k, " ".join(changed)))
+    rows += [(2000 + k, " ".join(rng.choice(vocabulary) for _ in range(50))) for k in range(100)]
+    kept = sorted(r["doc_id"] for r in S.keep_one(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert kept == [0, *range(2000, 2100)]
+
+
 def test_keep_one_keeps_the_smallest_id_of_each_group(spark):
     rows = texts()
-    df = spark.createDataFrame([(d, t, "extra", 5) for d, t in rows], SCHEMA + ", fp string, id int")
+    df = spark.createDataFrame([(d, t, "extra", 5) for d, t in rows], SCHEMA + ", p string, id int")
     kept = S.keep_one(df).collect()
-    assert kept[0].asDict().keys() == {"doc_id", "text", "fp", "id"}
-    wanted = {component for _, _, component in brute_components(rows)}
-    assert sorted(r["doc_id"] for r in kept) == sorted(wanted)
+    assert kept[0].asDict().keys() == {"doc_id", "text", "p", "id"}
+    ids, by_text = {r["doc_id"] for r in kept}, {}
+    for d, t in rows:
+        by_text.setdefault(" ".join(lower(t).split()), []).append(d)
+    assert len(ids) == len(kept) and all(sum(d in ids for d in set(same)) <= 1 for same in by_text.values())
+    for d, t in rows:  # whatever went is like something that stayed and has a smaller id
+        if d not in ids:
+            assert any(e in ids and likeness(t, u) >= 0.7 and (d is None or e <= d) for e, u in rows if e is not None)
 
 
 def test_keep_one_without_ids(spark):

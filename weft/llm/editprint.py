@@ -18,9 +18,8 @@ least 0, for d differing bits, as unrelated bits agree half the time.
 
 Near texts are found by bands. A band is a sample of bits, and texts that agree on a whole band meet in its slot and are
 verified by their likeness. Bands are as wide as the number of fingerprints asks for (some two bits more than its logarithm, so that
-slots hold few strangers) and as many as find a pair at the least likeness with a chance of FOUND. No slot is capped. Where a slot
-holds so many that trying all pairs would cost too much, its members are first tried against one of them, and another, and
-so on: those that are connected need not be tried against each other again. What then is left is tried in full.
+slots hold few strangers) and as many as find a pair at the least likeness with a chance of FOUND. No slot is capped: slots.py
+says how members of a crowded one are tried.
 
 Defined cases: a null text counts as empty; an empty text has the zero fingerprint. Equal texts have equal
 fingerprints. Documents are ordered by descending id, rows without an id last, rows of equal id by the hash of their text; after the last
@@ -41,6 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.slots import connect, crowded
 from weft.llm.text import utf8
 from weft.operators.components import connected_components
 from weft.session import cut
@@ -55,8 +55,6 @@ PAD = 255
 TOGETHER, PIECE, HELD = 4096, 1 << 20, 1 << 22
 #: Chance that two fingerprints of the least likeness share a band.
 FOUND = 0.98
-#: Pairs to a slot row, on average, that are tried without more ado.
-AFFORDED = 16
 
 
 @lru_cache(maxsize=1)
@@ -356,32 +354,9 @@ def near_links(own: DataFrame, least: float) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = own.select(F.col("pid").alias("a"), F.col("p").alias("x")), own.select(F.col("pid").alias("b"), F.col("p").alias("y"))
         near = F.arrow_udf(_likeness_of, "double")("x", "y")
-        return pairs.distinct().join(left, "a").join(right, "b").select("a", "b", near.alias("near")).where(F.col("near") >= least).select("a", "b")
-
-    slots = own.select("pid", F.explode(slots_of("p")).alias("slot"))
-    shared = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot")
-    crowded = cut(slots.join(shared, "slot").select("slot", "pid"))
-    links = own.sparkSession.createDataFrame([], "a long, b long")
-    turn, before = 0, math.inf
-    while True:
-        roots = connected_components(links).select(F.col("node").alias("pid"), "root") if turn else links.select(F.col("a").alias("pid"), F.col("b").alias("root"))
-        rows = crowded.join(roots, "pid", "left").select("slot", "pid", F.coalesce("root", "pid").alias("root"))
-        # Of each slot the largest class so far, and how many members are outside it.
-        sizes = rows.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("n"))
-        state = sizes.groupBy("slot").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-        state = state.select("slot", F.col("top.root").alias("most"), "n", (F.col("n") - F.col("top.n")).alias("others")).where("others > 0")
-        rows = cut(rows.join(state, "slot"))
-        total = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("root") != F.col("most"), F.col("n"))).alias("pairs")).first()
-        if not total["rows"]:
-            return links
-        other = rows.where(F.col("root") != F.col("most")).select("slot", F.col("pid").alias("b"), F.col("root").alias("other"))
-        if total["pairs"] <= AFFORDED * total["rows"] or total["pairs"] > before / 2:  # few, or as few as this way makes them
-            met = rows.join(other, "slot").where((F.col("root") != F.col("other")) & ((F.col("root") == F.col("most")) | (F.col("pid") < F.col("b"))))
-            return cut(links.unionByName(verified(met.select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b")))))
-        lead = other.groupBy("slot").agg(F.min_by(F.struct("b", "other"), F.xxhash64("b", F.lit(turn))).alias("lead")).select("slot", "lead.*")
-        met = rows.join(lead, "slot").where(F.col("root") != F.col("other"))
-        found = cut(verified(met.select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b"))))
-        links, turn, before = cut(links.unionByName(found)), turn + 1, total["pairs"]
+        return pairs.join(left, "a").join(right, "b").select("a", "b", near.alias("near")).where(F.col("near") >= least)
+
+    return connect(crowded(own.select("pid", F.explode(slots_of("p")).alias("slot"))), verified)
 
 
 def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
