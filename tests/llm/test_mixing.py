@@ -21,6 +21,12 @@ def bucket(word: str) -> int:
     return (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(word.encode(), 42)) % M.BUCKETS
 
 
+def kept(doc: int | None) -> bool:
+    """Whether an id is kept out of the counts; a null id hashes to the seed."""
+    h = 42 if doc is None else xxhash.xxh64_intdigest(str(doc).encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % M.KEPT_OUT == 0
+
+
 def corpus() -> list[tuple]:
     rng = random.Random(8)
     vocabulary = {d: [f"{d}{k}" for k in range(40)] + ["shared"] for d in ("aa", "bb", "cc")}
@@ -38,23 +44,23 @@ TARGET = {"aa": 0.2, "bb": 0.5, "cc": 0.3}
 
 def brute(rows: list[tuple]) -> tuple[dict, dict]:
     """(rows by id and text, totals by domain) by plain loops."""
-    labelled = [(t, d) for i, t, d, *_ in rows if d in TARGET]
+    every = [(i, t, d) for i, t, d, *_ in rows if d in TARGET]
+    labelled, kept_out = [x for x in every if not kept(x[0])], [x for x in every if kept(x[0])]
     names = sorted(TARGET)
-    counts = {d: Counter(bucket(w) for t, x in labelled if x == d for w in words(t)) for d in names}
+    counts = {d: Counter(bucket(w) for _, t, x in labelled if x == d for w in words(t)) for d in names}
     size = {d: sum(c.values()) + 0.5 * M.BUCKETS for d, c in counts.items()}
     logs = {d: [math.log((counts[d][b] + 0.5) / size[d]) for b in range(M.BUCKETS)] for d in names}
     unit = {d: [round(1000 * (logs[d][b] - sum(logs[e][b] for e in names) / len(names))) for b in range(M.BUCKETS)] for d in names}
-    share = Counter(d for _, d in labelled)
-    out = {}
-    for i, t, *_ in rows:
-        ws = words(t)
-        z = [sum(unit[d][bucket(w)] for w in ws) / (max(1.0, len(ws) * max(1, sum(r[:2] == (i, t) for r in rows)) / M.EFFECTIVE) * 1000) for d in names]
-        if sum(r[:2] == (i, t) for r in rows) > 1:
-            n = sum(r[:2] == (i, t) for r in rows)
-            z = [sum(unit[d][bucket(w)] for w in ws) * n / (max(1.0, n * len(ws) / M.EFFECTIVE) * 1000) for d in names]
-        z = [x + math.log(share[d] / len(labelled)) for x, d in zip(z, names)]
+    share = Counter(d for _, _, d in labelled)
+
+    def posterior(text: str | None, evidence: int) -> list[float]:
+        ws = words(text)
+        z = [sum(unit[d][bucket(w)] for w in ws) / (1 + len(ws) / evidence) / 1000 + math.log(share[d] / len(labelled)) for d in names]
         e = [math.exp(x - max(z)) for x in z]
-        out[(i, t)] = (len(ws), [round(1000 * x / sum(e)) for x in e])
+        return [x / sum(e) for x in e]
+
+    evidence = min(M.EVIDENCE, key=lambda n: -sum(math.log(posterior(t, n)[names.index(d)]) for _, t, d in kept_out))
+    out = {(i, t): (len(words(t)), [round(1000 * x) for x in posterior(t, evidence)]) for i, t, *_ in rows}
     total = sum(out[(i, t)][0] for i, t, *_ in rows)
     rates = {key: 1.0 for key in out}
     gram = [[sum(out[r[:2]][0] * out[r[:2]][1][a] * out[r[:2]][1][b] for r in rows) / 1e6 / total for b in range(3)] for a in range(3)]
@@ -100,8 +106,21 @@ def test_draw_follows_the_rates(spark):
         assert math.floor(rate) <= counts[doc] / present[doc] <= math.ceil(rate)
 
 
+def test_evidence_is_what_predicts_best(spark):
+    rng = random.Random(31)
+    rows = []
+    for k in range(400):  # words say little, and a text repeats its few words
+        d = rng.choice(["aa", "bb"])
+        some = [rng.choice(["x", "y"] + [d] * (rng.random() < 0.5) + [{"aa": "bb", "bb": "aa"}[d]] * (rng.random() < 0.3)) for _ in range(3)]
+        rows.append((k, " ".join(some * 40), d, "x", 1))
+    rough = M.learned(spark.createDataFrame(rows, SCHEMA), ["aa", "bb"], "lang", "doc_id", "text", 1000)
+    sure = [(k, " ".join(f"{d}{rng.randrange(30)}" for _ in range(30)), d, "x", 1) for k in range(300) for d in [rng.choice(["aa", "bb"])]]
+    clear = M.learned(spark.createDataFrame(sure, SCHEMA), ["aa", "bb"], "lang", "doc_id", "text", 1000)
+    assert rough.evidence <= 10 < clear.evidence
+
+
 def test_unreachable_target_keeps_its_residual(spark):
-    df = spark.createDataFrame([(1, "aa1 aa2", "aa", "x", 1), (2, "aa3", "aa", "x", 1)], SCHEMA)
+    df = spark.createDataFrame([(1, "aa1 aa2", "aa", "x", 1), (2, "aa3", "aa", "x", 1), (7, "aa1", "aa", "x", 1), (9, "aa1", "aa", "x", 1)], SCHEMA)
     got = M.mix(df, df, {"aa": 0.5, "zz": 0.5}).collect()
     assert all(r["p_zz"] == 0 and r["rate"] == pytest.approx(0.5, abs=2e-3) for r in got)
 
@@ -124,9 +143,13 @@ def test_scarce_and_unwanted_domains_meet_their_targets(spark, cells, targets):
 
 
 def test_targets_out_of_reach_are_reported(spark):
-    df = spark.createDataFrame([(1, "aa1 aa2", "aa", "x", 1), (2, "aa3", "aa", "x", 1)], SCHEMA)
+    df = spark.createDataFrame([(1, "aa1 aa2", "aa", "x", 1), (2, "aa3", "aa", "x", 1), (7, "aa1", "aa", "x", 1), (9, "aa1", "aa", "x", 1)], SCHEMA)
     with pytest.warns(UserWarning, match="out of reach.*zz"):
         M.mix(df, df, {"aa": 0.5, "zz": 0.5})
+    with pytest.raises(ValueError, match="out of reach"):
+        M.mix(df, df, {"aa": 0.5, "zz": 0.5}, strict=True)
+    with pytest.warns(UserWarning):
+        assert M.residuals(df, df, {"aa": 0.5, "zz": 0.5})["zz"] == pytest.approx(-0.5, abs=2e-3)
     mixed = spark.createDataFrame([(500, 500, 10), (400, 600, 10)], "q0 int, q1 int, tokens long")
     _, residual = M.solve(mixed, [0.9, 0.1], most=20)
     best = min((0.5 * r - 0.9) ** 2 + (0.5 * r - 0.1) ** 2 for r in (k / 1000 for k in range(3000)))

@@ -1,6 +1,8 @@
 """Mixing to target weights with soft domain membership, in DataFrame and SQL functions only.
 
 A naive Bayes classifier over hashed words, counted from a labelled table, gives every document a posterior over domains.
+Words of a text are not independent, so n of them count as n E / (n + E) words; E is the one of EVIDENCE by which the classifier
+best predicts labelled rows that it was not counted from (a third of them, by a hash of the id).
 Each document then gets a nonnegative rate (how often it is expected to be drawn), such that the expected tokens of
 every domain, sum of rate * tokens * posterior, match the target weights of the same token budget. Rates solve the least
 squares problem by projected gradient steps from rate 1, in the metric that weighs a document by its tokens: one
@@ -16,7 +18,7 @@ that reads it; what is shuffled is one row per document, whatever its length, so
 Defined cases: a null or empty text has no tokens, its posterior is the prior; a null id is a document like others (rows
 of equal id and text share one score). Labelled rows whose domain has no target do not train. A domain without any
 training row has posterior 0 and keeps its residual. Targets that no nonnegative rates meet are approached as far as
-possible, and a warning names what is left. An empty table gives an empty result. At most max_rows labelled
+possible, and a warning (with strict, an error) names what is left; residuals() gives it in figures. An empty table gives an empty result. At most max_rows labelled
 rows train, those of smallest id hash; the driver holds BUCKETS counts per domain. Other columns pass through.
 """
 
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,8 +37,10 @@ from weft.session import cut
 BUCKETS = 8192
 #: Log likelihoods are kept in thousandths, posteriors in thousandths.
 UNIT = 1000
-#: Evidence of a text counts as at most so many independent words: text of several domains keeps several.
-EFFECTIVE = 40
+#: How many independent words any text may count as.
+EVIDENCE = (5, 10, 20, 40, 80, 160, 320, 640)
+#: One in so many labelled ids is kept out of the counts.
+KEPT_OUT = 3
 #: Weight of the last step's own size beside the residuals: bounds it where targets are out of reach.
 LEAST = 1e-12
 #: Residual shares of tokens below which targets count as met.
@@ -60,6 +64,7 @@ class Domains:
     names: tuple[str, ...]
     prior: tuple[float, ...]
     likelihood: tuple[tuple[int, ...], ...]
+    evidence: int = 40
 
 
 def train(labelled: DataFrame, names: list[str], domain_col: str, text_col: str, smooth: float = 0.5) -> Domains:
@@ -90,23 +95,53 @@ def _ints(values: tuple[int, ...]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
-def posteriors(docs: DataFrame, domains: Domains, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, tokens, copies, q0, q1, ...): per distinct id and text, tokens of all its rows and posteriors in thousandths."""
+def _sums(docs: DataFrame, domains: Domains, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, tokens, copies, l0, l1, ...): per distinct id and text, tokens and log likelihoods of all its rows."""
     # The hash is made below the generator: beside it, it would be computed again for every word.
     hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     rows = hashed.select("id", "h", F.posexplode(words("text")).alias("at", "w"))
     placed = rows.select("id", "h", "at", (F.col("w") != "").alias("real"), F.when(F.col("w") != "", bucket("w")).alias("b"))
-    sums = placed.groupBy("id", "h").agg(
+    return placed.groupBy("id", "h").agg(
         F.count_if("real").alias("tokens"),
         F.count_if(F.col("at") == 0).alias("copies"),
         *[F.coalesce(F.sum(F.get(_ints(table), F.col("b"))), F.lit(0)).alias(f"l{k}") for k, table in enumerate(domains.likelihood)],
     )
-    shrink = F.greatest(F.lit(1.0), F.col("tokens") / EFFECTIVE) * UNIT
+
+
+def _scores(domains: Domains, evidence: int) -> dict[int, Column]:
+    """Log posteriors, up to a common constant, of the domains that have a prior; a row's copies count once."""
+    once = F.lit(UNIT) * F.col("copies") * (1 + F.col("tokens") / (F.col("copies") * evidence))
+    return {k: F.col(f"l{k}") / once + F.lit(prior) for k, prior in enumerate(domains.prior) if prior > -math.inf}
+
+
+def _top(scores: dict[int, Column]) -> Column:
+    return F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()), F.lit(0.0))
+
+
+def with_evidence(domains: Domains, kept_out: DataFrame, domain_col: str, id_col: str, text_col: str) -> Domains:
+    """domains with the evidence of least log loss on kept_out rows, the first of equal ones."""
     alive = [k for k, prior in enumerate(domains.prior) if prior > -math.inf]
-    scores = {k: F.col(f"l{k}") / shrink + F.lit(domains.prior[k]) for k in alive}
-    top = F.greatest(*scores.values()) if len(alive) > 1 else next(iter(scores.values()), F.lit(0.0))
-    raised = sums.withColumn("top", top).withColumns({f"e{k}": F.exp(scores[k] - F.col("top")) if k in scores else F.lit(0.0) for k in range(len(domains.names))})
-    total = sum((F.col(f"e{k}") for k in alive), F.lit(0.0))
+    if not alive:
+        return domains
+    losses = []
+    for k in alive:
+        rows = _sums(kept_out.where(F.col(domain_col) == domains.names[k]), domains, id_col, text_col)
+        for evidence in EVIDENCE:
+            scores = _scores(domains, evidence)
+            top = _top(scores)
+            spread = F.log(sum((F.exp(x - top) for x in scores.values()), F.lit(0.0)))
+            rows = rows.withColumn(f"e{evidence}", F.round(top + spread - scores[k], 9) * F.col("copies"))
+        losses.append(rows.agg(*[F.coalesce(F.sum(f"e{e}"), F.lit(0.0)).alias(f"e{e}") for e in EVIDENCE]).first())
+    total = {e: round(sum(row[f"e{e}"] for row in losses), 6) for e in EVIDENCE}
+    return replace(domains, evidence=min(EVIDENCE, key=lambda e: (total[e], e))) if any(total.values()) else domains
+
+
+def posteriors(docs: DataFrame, domains: Domains, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, tokens, copies, q0, q1, ...): per distinct id and text, tokens of all its rows and posteriors in thousandths."""
+    scores = _scores(domains, domains.evidence)
+    raised = _sums(docs, domains, id_col, text_col).withColumn("top", _top(scores))
+    raised = raised.withColumns({f"e{k}": F.exp(scores[k] - F.col("top")) if k in scores else F.lit(0.0) for k in range(len(domains.names))})
+    total = sum((F.col(f"e{k}") for k in scores), F.lit(0.0))
     shares = raised.withColumn("z", F.when(total > 0, total).otherwise(1.0))
     return shares.select("id", "h", "tokens", "copies", *[F.round(UNIT * F.col(f"e{k}") / F.col("z")).cast("int").alias(f"q{k}") for k in range(len(domains.names))])
 
@@ -221,20 +256,41 @@ def solve(cells: DataFrame, targets: list[float], tolerance: float = TOLERANCE,
     return history, residual
 
 
-def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_col: str, id_col: str, text_col: str, max_rows: int) -> tuple[DataFrame, list[str]]:
-    """(id, h, tokens, copies, q..., rate) per distinct id and text."""
+def learned(labelled: DataFrame, names: list[str], domain_col: str, id_col: str, text_col: str, max_rows: int) -> Domains:
+    """The classifier from at most max_rows labelled rows, two thirds of the ids for its counts, the others for its evidence."""
+    chosen = labelled.where(F.col(domain_col).isin(names)).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(max_rows)
+    rows = cut(chosen.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain"), F.col(text_col).alias("text")))
+    out = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(KEPT_OUT)) == 0  # also ids that are null
+    domains = train(rows.where(~out), names, "domain", "text")
+    return with_evidence(domains, rows.where(out), "domain", "id", "text")
+
+
+def rated(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_col: str, id_col: str, text_col: str, max_rows: int, strict: bool = False
+) -> tuple[DataFrame, dict[str, float]]:
+    """(id, h, tokens, copies, q..., rate) per distinct id and text, and the residual share of tokens by domain, in order."""
     names = sorted(targets)
     weight = sum(targets.values())
-    chosen = labelled.where(F.col(domain_col).isin(names)).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(max_rows)
-    domains = train(cut(chosen.select(F.col(domain_col).alias("domain"), F.col(text_col).alias("text"))), names, "domain", "text")
-    scored = cut(posteriors(docs, domains, id_col, text_col))
+    scored = cut(posteriors(docs, learned(labelled, names, domain_col, id_col, text_col, max_rows), id_col, text_col))
     qs = [f"q{k}" for k in range(len(names))]
     cells = cut(scored.groupBy(*qs).agg(F.sum("tokens").alias("tokens")))
-    history, residual = solve(cells, [targets[name] / weight for name in names])
-    unmet = {name: x for name, x in zip(names, residual) if abs(x) >= TOLERANCE}
+    history, left = solve(cells, [targets[name] / weight for name in names])
+    residual = dict(zip(names, left))
+    unmet = {name: x for name, x in residual.items() if abs(x) >= TOLERANCE}
     if history and unmet:
-        warnings.warn(f"targets out of reach; shares of tokens above (below, if negative) target: {unmet}", stacklevel=2)
-    return scored.withColumn("rate", F.round(rate_column(history, len(names)), 6)), names
+        said = f"targets out of reach; shares of tokens above (below, if negative) target: {unmet}"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
+    return scored.withColumn("rate", F.round(rate_column(history, len(names)), 6)), residual
+
+
+def residuals(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_col: str = "lang",
+    id_col: str = "doc_id", text_col: str = "text", max_rows: int = 3000,
+) -> dict[str, float]:
+    """By how large a share of all tokens each domain's expected tokens miss their target."""
+    return rated(docs, labelled, targets, domain_col, id_col, text_col, max_rows)[1]
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str = "doc_id") -> DataFrame:
@@ -245,10 +301,10 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, max_rows: int, id_col
 
 def mix(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_col: str = "lang",
-    id_col: str = "doc_id", text_col: str = "text", max_rows: int = 3000,
+    id_col: str = "doc_id", text_col: str = "text", max_rows: int = 3000, strict: bool = False,
 ) -> DataFrame:
     """Per row: id, n_tokens, rate, expected_tokens, and p_<domain> for every target."""
-    scored, names = rated(docs, labelled, targets, domain_col, id_col, text_col, max_rows)
+    scored, names = rated(docs, labelled, targets, domain_col, id_col, text_col, max_rows, strict)
     each = scored.withColumn("n", (F.col("tokens") / F.col("copies")).cast("long"))
     once = each.select(
         F.col("id").alias(id_col), F.col("n").alias("n_tokens"), "rate", F.round(F.col("rate") * F.col("n"), 6).alias("expected_tokens"),
@@ -259,11 +315,11 @@ def mix(
 
 def draw(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain_col: str = "lang",
-    id_col: str = "doc_id", text_col: str = "text", max_rows: int = 3000, salt: int = 11,
+    id_col: str = "doc_id", text_col: str = "text", max_rows: int = 3000, salt: int = 11, strict: bool = False,
 ) -> DataFrame:
     """The rows and columns of docs, each as often as its rate says: the whole part, and once more with the
     probability of the rest, decided by a hash of id and text."""
-    scored, _ = rated(docs, labelled, targets, domain_col, id_col, text_col, max_rows)
+    scored, _ = rated(docs, labelled, targets, domain_col, id_col, text_col, max_rows, strict)
     chance = F.pmod(F.xxhash64(F.lit(salt), "id", "h"), F.lit(1 << 20)) / (1 << 20)
     times = scored.select(F.struct("id", "h").alias("__of"), F.floor(F.col("rate") + chance).cast("int").alias("__times")).where("__times > 0")
     keyed = docs.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h")))
