@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import blocks as B
-from weft.operators import correct, graph, merge, metrics, partition, refine, seeds, signature, tokens, trie
+from weft.operators import correct, graph, layout, merge, metrics, partition, refine, seeds, signature, tokens, trie
 from weft.operators.components import connected_components
 from weft.plans import flagship, pii, signatures
 from weft.sources.files import sample_records
@@ -321,6 +321,37 @@ def test_fuzzy_join_loses_no_pair(spark, threshold):
     assert {tuple(r) for r in found.collect()} == wanted
 
 
+def test_lsh_blocks_find_near_sets_and_verify_them(spark):
+    """Recall against all pairs, and no pair below the threshold."""
+    rng = random.Random(17)
+    rows = []
+    for k in range(60):
+        base = rng.sample(range(5000), 20)
+        rows += [(3 * k, base), (3 * k + 1, base[:-2] + [9000 + k, 9100 + k]), (3 * k + 2, base[:12] + rng.sample(range(5000, 8000), 8))]
+    rows = [(r, [f"S{x}" for x in sorted(set(xs))]) for r, xs in rows]
+    sets = {str(r): set(xs) for r, xs in rows}
+    got = {(str(r["ref_id"]), o) for r in signature.lsh_blocks(spark.createDataFrame(rows, "ref_id long, sigs array<string>"), 0.6).collect() for o in r["key"]}
+    want = {(a, b) for a in sets for b in sets if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    assert got <= want and len(got) / len(want) >= 0.9 and {(r, r) for r in sets} <= got
+
+
+def test_discs_lie_in_rows_without_overlap(spark):
+    rng = random.Random(18)
+    clusters = spark.createDataFrame([(k, c) for c in range(40) for k in range(rng.randrange(1, 30))], "ref_id long, cluster_id long")
+    discs = layout.cluster_discs(clusters).collect()
+    sizes = {r["cluster_id"]: r["count"] for r in clusters.groupBy("cluster_id").count().collect()}
+    assert {r["cluster_id"]: r["size"] for r in discs} == {c: n for c, n in sizes.items() if n > 1}
+    for a, b in combinations(discs, 2):
+        assert (a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2 >= (a["radius"] + b["radius"]) ** 2 - 1e-6
+    wide, high = max(r["x"] + r["radius"] for r in discs), -min(r["y"] - r["radius"] for r in discs)
+    assert 0.4 < wide / high < 2.5
+    points = layout.record_points(clusters, layout.cluster_discs(clusters)).collect()
+    by = {r["cluster_id"]: r for r in discs}
+    assert all((p["px"] - by[p["cluster_id"]]["x"]) ** 2 + (p["py"] - by[p["cluster_id"]]["y"]) ** 2 <= by[p["cluster_id"]]["radius"] ** 2 for p in points)
+    assert layout.cluster_discs(clusters.limit(0)).count() == 0
+    assert [layout.color_for_size(n, 9) for n in (1, 5, 9)] == ["#440154", "#21918c", "#fde725"]
+
+
 def test_flagship_run(spark):
     raw = sample_records(spark, 60)
     records = raw.select(F.col("RecID").alias("ref_id"), F.split(F.upper(F.concat_ws(" ", "Name", "Address")), " ").alias("tokens"))

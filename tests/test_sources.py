@@ -92,6 +92,18 @@ def test_writers(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "b")).first()["label"] == "A B"
 
 
+def test_collect_runs(spark, tmp_path):
+    for group, name, f1 in (("A", "default", "0.5"), ("A", "other", None), ("B", "x", "bad")):
+        (tmp_path / group / name).mkdir(parents=True)
+        (tmp_path / group / name / "invocation.json").write_text(json.dumps({"command": f"run {name}"}))
+        if f1:
+            (tmp_path / group / name / "clusters_m0_p1.metrics.json").write_text(json.dumps({"pair_metrics": {"f1": float(f1)}}) if f1 != "bad" else "{")
+    rows = {(r["group"], r["config_id"]): r for r in S.collect_runs(spark, str(tmp_path), {"F1": "pair_metrics.f1"}).collect()}
+    assert {k: (r["command"], r["F1"], r["error"]) for k, r in rows.items()} == {
+        ("A", "default"): ("run default", "0.5", None), ("A", "other"): ("run other", None, "missing"), ("B", "x"): ("run x", None, "unreadable"),
+    }
+
+
 def test_read_runs(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"config": {"tau": 0.2}, "pair_metrics": {"f1": 0.5}}, indent=1))
     (tmp_path / "b.json").write_text("not json")

@@ -6,7 +6,7 @@ from pyspark.ml.feature import HashingTF, MinHashLSH
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.text import similarity_ratio, soundex
+from weft.functions.text import jaccard, similarity_ratio, soundex
 from weft.functions.variations import all_variations
 from weft.operators.graph import dense_index
 from weft.session import cut
@@ -67,8 +67,16 @@ def fuzzy_variations(tokens: DataFrame, threshold: int = 85, max_gap: int = 2) -
     return _symmetric(tokens, met.where(similarity_ratio(F.col("token"), F.col("variant")) >= threshold))
 
 
+def phonetic_classes(tokens: DataFrame) -> DataFrame:
+    """(token, code, head): every token with its sound code and the smallest token of that code. As many rows as tokens, however many
+    sound alike: what J11 means without its pairs, whose number grows with the square of a code's tokens."""
+    coded = tokens.select("token", soundex("token").alias("code"))
+    heads = coded.groupBy("code").agg(F.min("token").alias("head"))
+    return coded.join(heads, "code").select("token", "code", "head")
+
+
 def phonetic_variations(tokens: DataFrame) -> DataFrame:
-    """Tokens of equal sound code."""
+    """Tokens of equal sound code (J11), in pairs, as variation sets are made of; for large vocabularies see phonetic_classes."""
     coded = tokens.select("token", soundex("token").alias("code"))
     return coded.join(coded.select(F.col("token").alias("variant"), "code"), "code").select("token", "variant")
 
@@ -128,12 +136,17 @@ def exact_blocks(record_sigs: DataFrame) -> DataFrame:
 def lsh_blocks(record_sigs: DataFrame, threshold: float = 0.5, num_tables: int = 8, seed: int = 42) -> DataFrame:
     """(key, ref_id): records by the set of records that are at least threshold similar to them, by MinHash LSH.
 
-    Records without a signature are dropped. Found neighbours are verified by their exact Jaccard similarity.
+    Records without a signature are dropped. Candidates from hashed features are verified by the Jaccard similarity of the
+    signatures themselves, and a record is its own neighbour; a pair is found with a chance of 1 - (1 - j) ** num_tables.
     """
-    rows = cut(record_sigs.where(F.size("sigs") > 0))
+    rows = cut(record_sigs.where(F.size("sigs") > 0).select("ref_id", "sigs"))
     typed = HashingTF(inputCol="sigs", outputCol="features", numFeatures=1 << 20, binary=True).transform(rows)
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=num_tables, seed=seed).fit(typed)
-    pairs = model.approxSimilarityJoin(typed, typed, 1.0 - threshold + 1e-9, "distance").select(F.col("datasetA.ref_id").alias("ref_id"), F.col("datasetB.ref_id").alias("other"))
+    # Features that share a bucket make texts look more alike, or a little less; the margin is for the latter.
+    met = model.approxSimilarityJoin(typed, typed, min(1.0, 1.0 - 0.8 * threshold) + 1e-9, "distance")
+    both = met.select(F.col("datasetA.ref_id").alias("ref_id"), F.col("datasetB.ref_id").alias("other"), F.col("datasetA.sigs").alias("x"), F.col("datasetB.sigs").alias("y"))
+    pairs = both.where(jaccard(F.col("x"), F.col("y"), 0.0) >= threshold - 1e-12).select("ref_id", "other")
+    pairs = pairs.unionByName(rows.select("ref_id", F.col("ref_id").alias("other")))
     near = pairs.groupBy("ref_id").agg(F.array_sort(F.collect_set(F.col("other").cast("string"))).alias("key"))
     return near.select("key", "ref_id")
 

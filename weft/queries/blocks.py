@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,7 +199,17 @@ def refine_rising_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(refine.rising_floor(*part_seeds(spark, sf_dir), 2))
 
 
-@BOOK.add()
+#: Groups are parted by one token after the other, in order of frequency; a token that all or none of a group's members have parts nothing.
+_TREE = f"""{PARTS}, {OCCURRENCES}, rk AS (SELECT token, row_number() OVER (ORDER BY freq DESC, token) - 1 AS rank FROM tf),
+has AS (SELECT DISTINCT rank, ref_id FROM occ JOIN rk USING (token)),
+tree(rank, path, ref_id) AS (SELECT cast(0 AS BIGINT), '', ref_id FROM rec UNION ALL
+    SELECT rank + 1, CASE WHEN low = high THEN path ELSE path || CASE WHEN path = '' THEN '' ELSE ' ' END || token || '=' || h END, ref_id
+    FROM (SELECT t.rank, t.path, t.ref_id, rk.token, h, min(h) OVER (PARTITION BY t.path) AS low, max(h) OVER (PARTITION BY t.path) AS high
+        FROM (SELECT tree.*, CASE WHEN has.ref_id IS NULL THEN 0 ELSE 1 END AS h FROM tree LEFT JOIN has ON has.rank = tree.rank AND has.ref_id = tree.ref_id) t JOIN rk ON rk.rank = t.rank))
+SELECT DISTINCT path, ref_id FROM tree"""
+
+
+@BOOK.add(_TREE)
 def hierarchical_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = base.parts(spark, sf_dir)
     tree = hierarchical_blocks(records, term_frequency(records))
@@ -270,7 +282,36 @@ def key_overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(merge.merge_sharing_key_tokens(pairs.join(many, "key", "left_semi")))
 
 
-@BOOK.add()
+def _iteration_sql(k: int, by_key: bool, source: str, name: str) -> str:
+    """blocks of k valid tokens of source(ref_id, token), without equal ones, merged: {name}(key, ref_id)."""
+    tokens = f"{source} x0" + "".join(f" JOIN {source} x{j} ON x{j}.ref_id = x0.ref_id AND x{j - 1}.token < x{j}.token" for j in range(1, k))
+    valid = " AND ".join(f"x{j}.token IN (SELECT token FROM {name}_v)" for j in range(k))
+    node = "d.key[1]" if by_key else "'r' || d.ref_id"
+    edges = (
+        f"SELECT key[1] AS a, unnest(key) AS b FROM {name}_k" if by_key
+        else f"SELECT 'k' || array_to_string(key, ' ') AS a, 'r' || ref_id AS b FROM {name}_d"
+    )
+    merged = "first(key ORDER BY len(key), key)" if by_key else "list_sort(list_distinct(flatten(list(key))))"
+    parts = components_sql(f"{name}_e", f"{name}_n")
+    for inner in ("und", "reach", "comp"):
+        parts = re.sub(rf"\b{inner}\b", f"{name}_{inner}", parts)
+    return f"""{name}_f AS (SELECT token, count(*) AS freq FROM {source} GROUP BY token), {name}_v AS (SELECT token FROM {name}_f, (SELECT avg(freq) * 1.5 AS b FROM {name}_f) WHERE freq > b),
+{name}_b AS (SELECT [{", ".join(f"x{j}.token" for j in range(k))}] AS key, x0.ref_id FROM {tokens} WHERE {valid}), {dedup_sql(f"{name}_b", f"{name}_d")},
+{name}_k AS (SELECT DISTINCT key FROM {name}_d), {name}_e AS ({edges}), {name}_n AS (SELECT a AS ref_id FROM {name}_e UNION SELECT b FROM {name}_e), {parts},
+{name}_r AS (SELECT DISTINCT d.key, c.root FROM {name}_d d JOIN {name}_comp c ON c.ref_id = {node}), {name}_m AS (SELECT root, {merged} AS merged FROM {name}_r GROUP BY root),
+{name} AS (SELECT DISTINCT m.merged AS key, d.ref_id FROM {name}_d d JOIN {name}_r r ON r.key = d.key JOIN {name}_m m ON m.root = r.root)"""
+
+
+def _iterations_sql(by_key: bool, name: str) -> str:
+    return f"""{_iteration_sql(1, by_key, "base", f"{name}1")}, {name}s AS (SELECT 'block_' || sha1(array_to_string(key, chr(31))) AS ref_id, ref_id AS token FROM {name}1),
+{_iteration_sql(2, by_key, f"{name}s", f"{name}2")}, {name}o AS (SELECT DISTINCT b.key, o.token AS ref_id FROM {name}2 b JOIN {name}s o ON o.ref_id = b.ref_id)"""
+
+
+_ITERATIONS = f"""{PARTS}, base AS (SELECT cast(ref_id AS VARCHAR) AS ref_id, unnest(tokens) AS token FROM rec), {_iterations_sql(False, "u")}, {_iterations_sql(True, "w")}
+SELECT false AS by_key, 1 AS k, {FLAT} FROM u1 UNION ALL SELECT false, 2, {FLAT} FROM uo UNION ALL SELECT true, 1, {FLAT} FROM w1 UNION ALL SELECT true, 2, {FLAT} FROM wo"""
+
+
+@BOOK.add(_ITERATIONS)
 def iterative_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for by_key in (False, True):

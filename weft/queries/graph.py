@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators import blocks as B
@@ -188,11 +188,36 @@ def size_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.size_summary(clusters(spark, sf_dir), "cluster_id")
 
 
-@BOOK.add()
+_SUMMARY = ("n_total", "n_multi", "n_singletons", "min_size", "max_size", "mean_size", "median_size")
+
+
+def _summary_sql(source: str, by: str, name: str) -> str:
+    return f"""{name}z AS (SELECT count(*) AS size FROM {source} GROUP BY {by}), {name}d AS (SELECT size, count(*) AS n FROM {name}z GROUP BY size),
+{name} AS (SELECT count(*) AS {name}_n_total, count(*) FILTER (size > 1) AS {name}_n_multi, count(*) FILTER (size = 1) AS {name}_n_singletons, min(size) AS {name}_min_size, max(size) AS {name}_max_size,
+    round(avg(size), 3) AS {name}_mean_size, cast(median(size) AS DOUBLE) AS {name}_median_size, (SELECT string_agg(size || ':' || n, ',' ORDER BY size) FROM {name}d) AS {name}_sizes FROM {name}z)"""
+
+
+@BOOK.add(
+    f"""{_CLUSTERS}, {_TRUTH}, {_summary_sql("clu", "cluster_id", "predicted")}, {_summary_sql("truth", "truth_id", "truth_")},
+cp AS (SELECT x.ref_id AS a, y.ref_id AS b FROM clu x JOIN clu y ON x.cluster_id = y.cluster_id AND x.ref_id < y.ref_id),
+tp AS (SELECT x.ref_id AS a, y.ref_id AS b FROM truth x JOIN truth y ON x.truth_id = y.truth_id AND x.ref_id < y.ref_id),
+c AS (SELECT (SELECT count(*) FROM cp JOIN tp USING (a, b)) AS TP, (SELECT count(*) FROM tp) AS E, (SELECT count(*) FROM cp) AS L),
+s AS (SELECT *, CASE WHEN L > 0 THEN TP / L ELSE 1.0 END AS p, CASE WHEN E > 0 THEN TP / E ELSE 1.0 END AS r FROM c),
+dist AS (SELECT cast(sum(abs(coalesce(p.n, 0) - coalesce(t.n, 0))) AS BIGINT) AS size_distribution_l1, cast(sum(coalesce(p.n, 0) - coalesce(t.n, 0)) AS BIGINT) AS cluster_count_diff
+    FROM predictedd p FULL JOIN truth_d t USING (size))
+SELECT (SELECT count(*) FROM clu) AS n_records_total, (SELECT count(DISTINCT ref_id) FROM clu) AS n_unique_records, predicted.*, truth_.*,
+    TP, E, L, L - TP AS FP, E - TP AS FN, {_SCORES}, size_distribution_l1, cluster_count_diff FROM predicted, truth_, s, dist"""
+)
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.run_metrics(clusters(spark, sf_dir), truth(spark, sf_dir), {"tau": TAU, "weighting": "uniform"}).select(
-        "n_records_total", "n_unique_records", F.to_json("predicted_clusters").alias("predicted"), F.to_json("truth_clusters").alias("truth"),
-        F.to_json("pair_metrics").alias("pairs"), "size_distribution_l1", "cluster_count_diff",
+    found = metrics.run_metrics(clusters(spark, sf_dir), truth(spark, sf_dir), {"tau": TAU, "weighting": "uniform"})
+
+    def flat(nested: str, name: str) -> list[Column]:
+        sizes = F.transform(F.map_entries(f"{nested}.size_distribution"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+        return [*[F.col(f"{nested}.{c}").alias(f"{name}_{c}") for c in _SUMMARY], F.array_join(sizes, ",").alias(f"{name}_sizes")]
+
+    return found.select(
+        "n_records_total", "n_unique_records", *flat("predicted_clusters", "predicted"), *flat("truth_clusters", "truth_"),
+        "pair_metrics.*", "size_distribution_l1", "cluster_count_diff",
     )
 
 
@@ -207,7 +232,18 @@ def cluster_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("cluster_id", "size", F.array_join(line, "|").alias("records"))
 
 
-@BOOK.add()
+@BOOK.add(
+    f"""{_CLUSTERS}, sz2 AS (SELECT cluster_id, count(*) AS size, 0.6 * sqrt(count(*) + 1) + 0.4 AS radius FROM clu GROUP BY cluster_id HAVING count(*) >= 2),
+room AS (SELECT greatest(1, ceil(1.4 * sqrt(cast(sum(cast(round(pi() * radius * radius, 6) AS DECIMAL(30, 6))) AS DOUBLE)) * 1000000)) AS room FROM sz2),
+strip AS (SELECT *, cast(round((2 * radius + 0.15) * 1000000) AS BIGINT) AS wide FROM sz2),
+placed AS (SELECT *, coalesce(sum(wide) OVER (ORDER BY radius DESC, cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM strip),
+rws AS (SELECT *, floor(start / room) AS row, start - floor(start / room) * room AS x FROM placed, room),
+tops AS (SELECT row, high, coalesce(sum(high) OVER (ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM (SELECT row, max(wide) AS high FROM rws GROUP BY row)),
+disc AS (SELECT cluster_id, size, radius, x / 1000000 + radius AS x, -(top + high / 2) / 1000000 AS y FROM rws JOIN tops USING (row)),
+pts AS (SELECT ref_id, cluster_id, size, x, y, row_number() OVER (PARTITION BY cluster_id ORDER BY ref_id) - 1 AS i, greatest(radius - 0.25, radius * 0.7) AS inr FROM clu JOIN disc USING (cluster_id)),
+an AS (SELECT *, inr * sqrt((i + 0.5) / size) AS r, 2 * pi() * i / power((1 + sqrt(5)) / 2, 2) AS t FROM pts)
+SELECT ref_id, cluster_id, round(x + r * cos(t), 6) AS px, round(y + r * sin(t), 6) AS py FROM an"""
+)
 def cluster_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = clusters(spark, sf_dir)
     points = layout.record_points(found, layout.cluster_discs(found, 2))

@@ -121,9 +121,23 @@ def phonetic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("token").alias("first"), F.max("token").alias("last"))
 
 
+@BOOK.add(
+    f"""{DOCUMENTS}, {OCCURRENCES}, c AS (SELECT token, {base.soundex_sql('token')} AS code FROM tf)
+SELECT token, code, min(token) OVER (PARTITION BY code) AS head FROM c"""
+)
+def phonetic_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.phonetic_classes(S.vocabulary(base.documents(spark, sf_dir)))
+
+
+@BOOK.add(f"{_VOCABULARY}, c AS (SELECT token, {base.soundex_sql('token')} AS code FROM v) SELECT x.token, y.token AS variant FROM c x JOIN c y USING (code)")
+def phonetic_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.variations(kept_vocabulary(spark, sf_dir)[1], "phonetic")
+
+
 @BOOK.add()
 def data_quality_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.data_quality_variations(S.vocabulary(base.documents(spark, sf_dir)), ["char_deletion", "char_transposition", "morph_stemming", "ortho_informal"])
+    """All rules, over the whole vocabulary of documents."""
+    return S.data_quality_variations(S.vocabulary(base.documents(spark, sf_dir)))
 
 
 _SETS = f"""{_FUZZY}, st AS (SELECT DISTINCT list_sort(list(variant)) AS ts FROM va GROUP BY token),
@@ -148,20 +162,19 @@ def signature_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.exact_blocks(record_sigs(spark, sf_dir)).select(F.array_join("key", " ").alias("key"), "ref_id")
 
 
+def _split_sql(source: str, name: str) -> str:
+    """Blocks (label, ref_id) of more than two, each split by the token that parts it most evenly."""
+    return f"""{name}c AS (SELECT label, count(*) AS size FROM {source} GROUP BY label), {name}h AS (SELECT label, token AS sig, count(*) AS n FROM {source} JOIN kd USING (ref_id) GROUP BY label, token),
+{name}b AS (SELECT label, first(sig ORDER BY least(n, size - n) DESC, sig) AS sig FROM {name}h JOIN {name}c USING (label) WHERE size > 2 AND n < size GROUP BY label),
+{name} AS (SELECT s.ref_id, CASE WHEN b.sig IS NULL THEN s.label ELSE s.label || ' ' || CASE WHEN kd.token IS NULL THEN '-' ELSE '+' END || b.sig END AS label
+    FROM {source} s LEFT JOIN {name}b b USING (label) LEFT JOIN kd ON kd.ref_id = s.ref_id AND kd.token = b.sig)"""
 
 
-@BOOK.add(
-    f"""{KEPT_PARTS}, b AS (SELECT p_type AS root, p_partkey AS ref_id FROM part), cnt AS (SELECT root, count(*) AS size FROM b GROUP BY root),
-h AS (SELECT root, token AS sig, count(*) AS n FROM b JOIN kd USING (ref_id) GROUP BY root, token),
-best AS (SELECT root, first(sig ORDER BY least(n, size - n) DESC, sig) AS sig FROM h JOIN cnt USING (root) WHERE size > 2 AND n < size GROUP BY root),
-s AS (SELECT b.root, b.ref_id, CASE WHEN best.sig IS NULL THEN b.root ELSE b.root || ' ' || CASE WHEN kd.token IS NULL THEN '-' ELSE '+' END || best.sig END AS label
-    FROM b LEFT JOIN best USING (root) LEFT JOIN kd ON kd.ref_id = b.ref_id AND kd.token = best.sig)
-SELECT label, ref_id FROM s"""
-)
+@BOOK.add(f"{KEPT_PARTS}, s0 AS (SELECT p_type AS label, p_partkey AS ref_id FROM part), {_split_sql('s0', 's1')}, {_split_sql('s1', 's2')}, {_split_sql('s2', 's3')} SELECT label, ref_id FROM s3")
 def phase3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = base.kept_parts(spark, sf_dir)[0]
     blocks = table(spark, sf_dir, "part").select(F.array("p_type").alias("key"), F.col("p_partkey").alias("ref_id"))
-    leaves = S.split_blocks(blocks, records.select("ref_id", F.array_distinct("tokens").alias("sigs")), 1, 2)
+    leaves = S.split_blocks(blocks, records.select("ref_id", F.array_distinct("tokens").alias("sigs")), 3, 2)
     return leaves.select(F.array_join("label", " ").alias("label"), "ref_id")
 
 
@@ -205,8 +218,7 @@ nr AS (SELECT record_id, lower(trim(last_name)) AS last_name,
         lambda w: CASE w WHEN 'st' THEN 'street' WHEN 'rd' THEN 'road' WHEN 'ave' THEN 'avenue' WHEN 'blvd' THEN 'boulevard' ELSE w END), ' ') AS address,
     CASE WHEN length(regexp_replace(phone, '[^0-9]', '', 'g')) = 10 THEN '1' ELSE '' END || regexp_replace(phone, '[^0-9]', '', 'g') AS phone,
     regexp_replace(ssn, '[^0-9]', '', 'g') AS ssn, strftime(strptime(dob, '%m/%d/%Y'), '%Y-%m-%d') AS dob FROM raw)"""
-#: Simplified sound code of the five segments.
-_SOUND = "CASE last_name WHEN 'automobile' THEN 'A351' WHEN 'building' THEN 'B435' WHEN 'furniture' THEN 'F653' WHEN 'household' THEN 'H243' WHEN 'machinery' THEN 'M256' END"
+_SOUND = base.plain_soundex_sql("last_name")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,17 +112,19 @@ def read_first_column(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_c0").alias("value")).where(F.col("value").isNotNull())
 
 
-#: Fixed values of the sample generator.
-FIRST = ("John", "Mary", "Robert", "Patricia", "James", "Linda", "Michael", "Barbara", "William", "Elizabeth")
-LAST = ("Smith", "Johnson", "Williams", "Brown", "Jones", "Garcia", "Miller", "Davis", "Lee", "Wilson")
-STREETS = ("Main", "Oak", "Pine", "Maple", "Cedar", "Elm", "Washington", "Lake", "Hill", "Park")
-SUFFIXES = (("Street", "St"), ("Avenue", "Ave"), ("Road", "Rd"), ("Drive", "Dr"), ("Lane", "Ln"))
+#: Words that made-up people and addresses consist of.
+FIRST = ("Ada", "Bruno", "Carla", "Dmitri", "Esther", "Farid", "Greta", "Hugo", "Ines", "Jonas", "Katya", "Leo")
+LAST = ("Abbott", "Becker", "Castillo", "Dvorak", "Eriksen", "Fontaine", "Grigoryan", "Hoffmann", "Iversen", "Jankowski", "Kowal", "Lindqvist")
+STREETS = ("Almond", "Birch", "Canal", "Dogwood", "Ember", "Foundry", "Granite", "Harbour", "Ivy", "Juniper")
+SUFFIXES = (("Crescent", "Cres"), ("Terrace", "Ter"), ("Boulevard", "Blvd"), ("Court", "Ct"), ("Parade", "Pde"))
+CITIES = ("Aldermoor", "Brackwater", "Copperfield", "Dunmere", "Eastholm", "Fernleigh")
 
 
 def sample_records(spark: SparkSession, n_rows: int, duplicate_ratio: float = 0.3, seed: int = 42) -> DataFrame:
-    """(RecID, Name, Address, source_id): clean records, the last share of which repeat an earlier one with noise.
+    """(RecID, Name, Address, City, source_id): clean records, the last share of which repeat an earlier one with noise.
 
-    Noise is a dropped, doubled or swapped letter, an initial for the first name, or an abbreviated street suffix.
+    Noise is a dropped, doubled or swapped letter, an initial for the first name, an abbreviated street suffix, a city left out: one
+    kind at least, each of the others as well with some chance.
     Everything is a function of the row number and the seed, so any partitioning gives the same table.
     """
     clean = n_rows - int(n_rows * duplicate_ratio)
@@ -135,20 +137,27 @@ def sample_records(spark: SparkSession, n_rows: int, duplicate_ratio: float = 0.
 
     rows = spark.range(n_rows).select(F.col("id"), F.when(F.col("id") < clean, F.col("id")).otherwise(draw("source", F.col("id"), max(1, clean))).cast("long").alias("source_id"))
     s = F.col("source_id")
-    noise = F.when(F.col("id") < clean, -1).otherwise(draw("noise", F.col("id"), 5))
+    kinds = ("drop", "double", "swap", "initial", "suffix", "city")
+
+    def noisy(kind: str) -> Column:
+        """Whether a repeat has a kind of noise; of the three on letters the first that it has counts."""
+        sure = draw("noise", F.col("id"), len(kinds)) == kinds.index(kind)
+        return (F.col("id") >= clean) & (sure | (draw(f"also {kind}", F.col("id"), 4) == 0))
+
     first, last = pick(FIRST, "first", s), pick(LAST, "last", s)
     at = draw("at", F.col("id"), 3) + 2
     typo = (
-        F.when(noise == 0, F.concat(F.substring(last, F.lit(1), at - 1), F.substring(last, at + 1, F.lit(50))))
-        .when(noise == 1, F.concat(F.substring(last, F.lit(1), at), F.substring(last, at, F.lit(50))))
-        .when(noise == 2, F.concat(F.substring(last, F.lit(1), at - 2), F.substring(last, at, F.lit(1)), F.substring(last, at - 1, F.lit(1)), F.substring(last, at + 1, F.lit(50))))
+        F.when(noisy("drop"), F.concat(F.substring(last, F.lit(1), at - 1), F.substring(last, at + 1, F.lit(50))))
+        .when(noisy("double"), F.concat(F.substring(last, F.lit(1), at), F.substring(last, at, F.lit(50))))
+        .when(noisy("swap"), F.concat(F.substring(last, F.lit(1), at - 2), F.substring(last, at, F.lit(1)), F.substring(last, at - 1, F.lit(1)), F.substring(last, at + 1, F.lit(50))))
         .otherwise(last)
     )
-    name = F.concat_ws(" ", F.when(noise == 3, F.substring(first, 1, 1)).otherwise(first), typo)
+    name = F.concat_ws(" ", F.when(noisy("initial"), F.substring(first, 1, 1)).otherwise(first), typo)
     kind = draw("suffix", s, len(SUFFIXES))
     long, short = (F.element_at(F.array(*[F.lit(x[k]) for x in SUFFIXES]), kind + 1) for k in (0, 1))
-    address = F.concat_ws(" ", (draw("number", s, 999) + 1).cast("string"), pick(STREETS, "street", s), F.when(noise == 4, short).otherwise(long))
-    return rows.select((F.col("id") + 1).alias("RecID"), name.alias("Name"), address.alias("Address"), (s + 1).alias("source_id"))
+    address = F.concat_ws(" ", (draw("number", s, 999) + 1).cast("string"), pick(STREETS, "street", s), F.when(noisy("suffix"), short).otherwise(long))
+    city = F.when(noisy("city"), "").otherwise(pick(CITIES, "city", s))
+    return rows.select((F.col("id") + 1).alias("RecID"), name.alias("Name"), address.alias("Address"), city.alias("City"), (s + 1).alias("source_id"))
 
 
 def cluster_documents(clusters: DataFrame, records: DataFrame, include_singletons: bool = True) -> DataFrame:
@@ -188,15 +197,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def block_export(blocks: DataFrame, source: DataFrame, id_col: str) -> DataFrame:
-    """(block columns, source columns): one row per block and member."""
-    return blocks.withColumn(id_col, F.explode("member_record_ids")).drop("member_record_ids").join(source, id_col)
+def collect_runs(spark: SparkSession, folder: str, fields: Mapping[str, str]) -> DataFrame:
+    """One row per run of an experiment folder: runs(read_runs) of its *.metrics.json, joined with the invocation.json beside them
+    (columns group, config_id and command). An invocation that left no metrics yields a row whose error says so (S18)."""
+    own = "^(.*)/([^/]*)/([^/]*)/[^/]*$"  # group, configuration
+    asked = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "invocation.json").text(folder, wholetext=True)
+    asked = asked.select(
+        F.regexp_extract("_metadata.file_path", own, 2).alias("group"), F.regexp_extract("_metadata.file_path", own, 3).alias("config_id"),
+        F.get_json_object("value", "$.command").alias("command"),
+    )
+    found = read_runs(spark, folder, fields, "*.metrics.json")
+    found = found.withColumns({"group": F.regexp_extract("file", own, 2), "config_id": F.regexp_extract("file", own, 3)})
+    joined = asked.join(found, ["group", "config_id"], "full")
+    error = F.when(F.col("file").isNull(), "missing").otherwise(F.col("error"))
+    return joined.select("group", "config_id", "command", "file", *fields, error.alias("error"))
 
 
-def read_runs(spark: SparkSession, paths: list[str] | str, fields: Mapping[str, str]) -> DataFrame:
+def read_runs(spark: SparkSession, paths: list[str] | str, fields: Mapping[str, str], named: str | None = None) -> DataFrame:
     """Flat rows of nested metrics files (S18): fields maps an output name to a dotted path. A path that a file lacks reads
-    null, and a file that is no JSON object becomes a row whose error column says so."""
-    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    null, and a file that is no JSON object becomes a row whose error column says so. named looks in all folders below, for files of such names."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", named) if named else spark.read
+    text = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     broken = F.get_json_object("value", "$").isNull()
     values = [F.get_json_object("value", f"$.{path}").alias(name) for name, path in fields.items()]
     return text.select("file", *values, F.when(broken, "unreadable").alias("error"))
