@@ -44,8 +44,7 @@ def test_posteriors_equal_brute_force(spark, monkeypatch, limit):
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, host string, path string, e long")
     stats, prior = Q.site_statistics(df.select("host", "path", "e"))
     assert prior.mean == pytest.approx(np.mean([r[2] for r in rows]) / 1e6)
-    monkeypatch.setattr(Q, "evidence_column", lambda model, text: df["e"])
-    judged = Q.judge(df.withColumnRenamed("host", "source_host"), None, df["host"] if False else Q.F.col("source_host"), Q.F.col("path"), "k")
+    judged = Q.judge(df.select("k", *[Q.F.col(c).alias(f"__{c}") for c in ("host", "path", "e")]))
     got = {r["k"]: (r["__host_posterior"], r["__path_posterior"], r["__quality"]) for r in judged.collect()}
     for k, wanted in enumerate(brute(rows, prior)):
         assert got[k] == pytest.approx(wanted, abs=2e-6)
@@ -63,6 +62,26 @@ def test_pseudo_count_falls_with_spread():
     assert 1.0 <= Q._pseudo_count(0.8, 0.01, 0.1) < Q._pseudo_count(0.8, 0.01, 0.02)
 
 
+def test_a_hot_host_does_not_drown_the_spread_between_hosts(spark):
+    rng = np.random.default_rng(5)
+    shares = {f"h{k}": rng.beta(4, 4) for k in range(40)}
+
+    def prior(hot: int):
+        rows = [(h, h, int(1e6 * (rng.random() < share))) for h, share in shares.items() for _ in range(hot if h == "h0" else 30)]
+        return Q.site_statistics(spark.createDataFrame(rows, "host string, path string, e long"))[1]
+
+    assert 0.4 < prior(3000).host / prior(30).host < 2.5
+
+
+def test_training_is_bounded_by_ids_and_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda x, y: seen.append((len(x), y.tolist())))
+    docs = spark.createDataFrame([(1, f"copy {k}") for k in range(300)] + [(2, "b"), (3, None), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (9, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    Q.train(docs, labels)
+    assert seen == [(3, [1, 0, 1])]
+
+
 def test_query_and_rejection(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = {r["doc_id"]: r for r in Q.assess(docs, labels).collect()}

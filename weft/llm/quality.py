@@ -10,7 +10,10 @@ Sums are kept in integer millionths, so results do not depend on the order of ad
 broadcast while they have at most BROADCAST_SITES rows (counted), and by a shuffled join, which adaptive execution splits on
 a hot host, beyond that.
 
-Training takes at most max_rows labelled documents, those of smallest id hash; only their feature vectors reach the driver.
+Training takes at most max_rows labelled ids, those of smallest id hash, and of the rows that share one the one of smallest
+text hash; only their feature vectors reach the driver, so max_rows bounds them. assess scores a text once and keeps only its
+evidence and site. reject scores it twice, before and after the sites are known, which costs less than to write or
+shuffle whole texts in between; evidence is a function of the text, so both agree.
 Defined cases: null and empty texts have the features of an empty text; a null host or path is a site of its own; without
 labels of both classes every document's own probability is 0.5. Repeated rows count as often as they occur. An
 empty table gives an empty result. Other columns, whatever their names, pass through.
@@ -106,10 +109,13 @@ def features_column(text: str | Column = "text") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Classifier | None:
-    ids = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y"))
+    """The classifier; None without labelled texts of both classes. An id labelled twice counts as good if any label says so."""
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y"))
+    ids = rows.groupBy("__id").agg(F.max("__y").alias("__y"))
     chosen = ids.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(max_rows)
     sampled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
-    rows = sorted((r["__id"], r["__y"], r["x"]) for r in sampled.select("__id", "__y", features_column("__text").alias("x")).collect())
+    once = sampled.select("__id", "__y", F.xxhash64(F.coalesce(F.col("__text").cast("string"), F.lit(""))).alias("__h"), features_column("__text").alias("x"))
+    rows = sorted(tuple(r) for r in once.groupBy("__id", "__y").agg(F.min_by("x", "__h").alias("x")).collect())
     y = np.array([r[1] for r in rows])
     if not rows or y.all() or not y.any():
         return None
@@ -154,8 +160,9 @@ def site_statistics(scored: DataFrame) -> tuple[DataFrame, Prior]:
     mean = min(1 - 1e-6, max(1e-6, total["s"] / MILLION / total["n"]))
 
     def moments(groups: DataFrame, n: str, deviation: Column) -> tuple[float, float]:
-        """Noise and spread of group means, groups weighted by size but none above 100."""
-        weight = F.least(F.col(n), F.lit(100)).cast("double")
+        """Noise and spread of group means. A group's weight n / (1 + n / 100) levels off as that of a random-effects mean does: beyond
+        some rows a group's mean is exact, and one host with a third of all rows says no more about the spread between hosts."""
+        weight = F.col(n) / (1 + F.col(n) / 100.0)
         row = groups.agg(
             F.sum(F.round(weight * deviation * deviation, 9)).alias("b"), F.sum(weight).alias("w"), F.sum(F.round(weight / F.col(n), 9)).alias("i")
         ).first()
@@ -186,10 +193,14 @@ def posterior_columns(prior: Prior) -> dict[str, Column]:
     return {"host_posterior": F.round(host, 6), "path_posterior": F.round(path, 6), "quality": F.round(1 / (1 + F.exp(-odds)), 6)}
 
 
-def judge(docs: DataFrame, model: Classifier | None, host: Column, path: Column, text_col: str = "text") -> DataFrame:
-    """docs with __e (own evidence, millionths), __host_posterior, __path_posterior and __quality."""
-    placed = docs.withColumns({"__host": host.cast("string"), "__path": path.cast("string")})
-    scored = placed.withColumn("__e", evidence_column(model, text_col))
+def scored(docs: DataFrame, model: Classifier | None, host: str, path: str, text_col: str) -> DataFrame:
+    """docs with __host, __path and __e, the text's own evidence in millionths."""
+    placed = docs.withColumns({"__host": F.col(host).cast("string"), "__path": F.col(path).cast("string")})
+    return placed.withColumn("__e", evidence_column(model, text_col))
+
+
+def judge(scored: DataFrame) -> DataFrame:
+    """Scored rows with __host_posterior, __path_posterior and __quality."""
     stats, prior = site_statistics(scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__e").alias("e")))
     sites = stats.select(*[F.col(c).alias(f"__{c}") for c in ("n", "s", "hn", "hs")], F.col("host").alias("__site_host"), F.col("path").alias("__site_path"))
     if sites.count() <= BROADCAST_SITES:
@@ -201,14 +212,15 @@ def judge(docs: DataFrame, model: Classifier | None, host: Column, path: Column,
 
 def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, own probability, host and path posteriors, quality, keep (1 from the threshold on)."""
-    judged = judge(docs, train(docs, labels, id_col=id_col, text_col=text_col), F.col(host), F.col(path), text_col)
+    rows = scored(docs, train(docs, labels, id_col=id_col, text_col=text_col), host, path, text_col)
+    judged = judge(cut(rows.select(F.col(id_col).alias("__id"), "__host", "__path", "__e")))
     return judged.select(
-        id_col, (F.col("__e") / MILLION).alias("evidence"), F.col("__host_posterior").alias("host_posterior"), F.col("__path_posterior").alias("path_posterior"),
+        F.col("__id").alias(id_col), (F.col("__e") / MILLION).alias("evidence"), F.col("__host_posterior").alias("host_posterior"), F.col("__path_posterior").alias("path_posterior"),
         F.col("__quality").alias("quality"), (F.col("__quality") >= threshold).cast("int").alias("keep"),
     )
 
 
 def reject(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with their columns, of quality at or above the threshold."""
-    judged = judge(docs, train(docs, labels, id_col=id_col, text_col=text_col), F.col(host), F.col(path), text_col)
+    judged = judge(scored(docs, train(docs, labels, id_col=id_col, text_col=text_col), host, path, text_col))
     return judged.where(F.col("__quality") >= threshold).select(*[docs[c] for c in docs.columns])
