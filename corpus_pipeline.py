@@ -2,6 +2,13 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() chains them over the documents table, with a reliable
 checkpoint between stages. Stages but the last return the columns of documents. Labels come from the labels table.
+
+Defined cases, beyond those of the operators: nulls in any column pass every stage as values of their own, a null text as an empty
+one. Empty texts are scored as texts without evidence; the near-duplicate stage takes them as equal, so one of them stays. Repeated
+rows and rows that share an id are judged one by one until that stage, which keeps one row of each group and of each id. Rows of equal
+scores are treated alike; a score at a threshold is toxic, a quality at its threshold good enough. Texts of any length are read whole.
+An empty table, or labels that cannot train a stage, let every row pass (mixing rates are 1). Extra columns, whatever their names, pass
+through all stages but the last, which returns doc_id, n_tokens, ids and round_trip.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import bpe, mixing, quality, simhash, toxicity
-from weft.llm.queries import LABELLED, TARGETS, VOCABULARY
+from weft.llm.parameters import LABELLED, TARGETS, VOCABULARY
 from weft.session import cut, table
 
 
@@ -27,7 +34,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
+    """One document of each group whose texts are alike to 0.8 in their five-word shingles."""
     return simhash.keep_one(docs)
 
 
