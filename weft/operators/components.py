@@ -2,7 +2,8 @@
 
 Each step is a map-side combined minimum per node followed by a join of the edges with these minima, so a node of
 any degree costs its own machine no more than its share: the aggregate combines before the shuffle, and the join is an
-ordinary shuffled join that adaptive execution splits where one node holds many edges. Every round is checkpointed.
+ordinary shuffled join that adaptive execution splits where one node holds many edges. Every round is checkpointed, and the one
+before then deleted.
 Nothing but two scalars per round (edge count and a hash of the edge set) reaches the driver.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.session import cut
+from weft.session import cut, forget
 
 
 def _hop(edges: DataFrame, keep_larger: bool) -> DataFrame:
@@ -52,7 +53,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not before[0]:
             break
-        current = cut(_hop(_hop(current, True), False))
+        last, current = current, cut(_hop(_hop(current, True), False))
+        forget(last)
         after = _state(current)
         if after == before:
             break

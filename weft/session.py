@@ -40,3 +40,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once and continue from its reliable checkpoint, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that cut() returned, once what was made of it is checkpointed itself or no longer needed.
+
+    Loops call it, so that their folders hold a few rounds, not all of them. Anything else stays until the folder is removed.
+    """
+    context = df.sparkSession.sparkContext
+    try:
+        kept = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    except Exception:  # no plain checkpoint: nothing to delete
+        return
+    if kept.isDefined():
+        path = context._jvm.org.apache.hadoop.fs.Path(kept.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
