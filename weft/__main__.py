@@ -1,6 +1,7 @@
 """Command line: python -m weft {clusters,signatures,blocks,people,sample} ...
 
-Paths may lie in any store that Spark reads. Results are folders of CSV or JSON files.
+Paths may lie in any store that Spark reads. Results are folders of CSV or JSON files. Names and defaults of options are fixed values,
+so that command lines in use keep their meaning.
 """
 
 from __future__ import annotations

@@ -50,11 +50,14 @@ def recursive_blocking(
     """Refinement to max_depth with a floor of max(depth, min_intra_freq), keeping old and new blocks.
 
     With merge, blocks of equal members are united after each level, with purge contained ones go. Stops early when
-    a level gives nothing, or changes nothing (floors only rise, so no later level would).
+    a level gives nothing, or changes nothing (floors only rise, so no later level would). Purging without merging needs no
+    levels at all (see purged_recursion), and its blocks are never more than the seeds, so these are the peak.
     """
     current = cut(blocks)
     frontier = current
     size = _count(current)
+    if purge and not merge:
+        return Refined(cut(purged_recursion(current, records, max_depth, min_intra_freq)), current, 0, size)
     peak, peak_depth, peak_size = current, 0, size
     for depth in range(1, max_depth + 1):
         new = cut(refine_blocks(frontier, records, max(depth, min_intra_freq)))

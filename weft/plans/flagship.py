@@ -22,7 +22,7 @@ from weft.session import cut
 
 @dataclass(frozen=True)
 class Config:
-    """Parameters of a run. init_df_max None means the percentile; full and hierarchical exclude each other."""
+    """Parameters of a run. init_df_max None means the percentile; full and hierarchical exclude each other. Defaults are fixed values."""
 
     max_frequency: int = 60
     init_df_max: int | None = None
@@ -134,7 +134,7 @@ def ablation(prepared: Prepared, config: Config) -> Iterator[Run]:
 
 
 def grid() -> list[tuple[str, str, Mapping[str, object]]]:
-    """(group, name, changes to the default configuration) of the curated experiments."""
+    """(group, name, changes to the default configuration) of the curated experiments (X9). Groups, names and values."""
     weights = {
         "all_equal": (1, 1, 1), "size_only": (1, 0, 0), "shared_only": (0, 1, 0), "tokenlen_only": (0, 0, 1),
         "size_shared": (1, 1, 0), "size_tokenlen": (1, 0, 1), "shared_tokenlen": (0, 1, 1),

@@ -10,7 +10,8 @@ from weft.operators import graph as G
 from weft.operators import layout, metrics, report, seeds
 from weft.plans import flagship
 from weft.queries import base
-from weft.queries.base import DOCUMENTS, KEPT_DOCUMENTS, SEEDS, Book, components_sql
+from weft.queries.base import DOCUMENTS, FULL_SEEDS, KEPT_DOCUMENTS, KEPT_PARTS, SEEDS, Book, components_sql
+from weft.queries.blocks import purge_sql
 from weft.session import cut, table
 
 BOOK = Book()
@@ -112,7 +113,25 @@ def density_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.number_clusters(cut(G.cluster_records(blocks, records, 0.05, density_floor=0.7)))
 
 
-@BOOK.add()
+#: With merge and purge, recursion leaves the largest seeds, each under all tokens that its members have in common (those of one
+#: member, which nothing extends, under their own tokens).
+_FLAGSHIP = f"""{KEPT_PARTS}, {FULL_SEEDS}, {purge_sql("seed", "pure")}, psz AS (SELECT key, count(*) AS size, min(ref_id) AS one FROM pure GROUP BY key),
+com AS (SELECT p.key, d.token FROM pure p JOIN kd d USING (ref_id) JOIN psz z ON z.key = p.key AND z.size > 1 GROUP BY p.key, d.token, z.size HAVING count(*) = z.size),
+lone AS (SELECT key[1] AS token, min(ref_id) AS one FROM seed GROUP BY key HAVING count(*) = 1),
+names AS (SELECT key, list_sort(list(token)) AS name FROM (SELECT * FROM com UNION SELECT z.key, lone.token FROM psz z JOIN lone USING (one) WHERE z.size = 1) GROUP BY key),
+named AS (SELECT n.name AS key, p.ref_id FROM pure p JOIN names n USING (key)), st AS (SELECT key, count(*) AS size FROM named GROUP BY key),
+ranked AS (SELECT s.key, ref_id, row_number() OVER (PARTITION BY ref_id ORDER BY size, s.key) AS r FROM named s JOIN st ON s.key = st.key),
+cutk AS (SELECT key, ref_id FROM ranked WHERE r <= 3), blk AS (SELECT key, ref_id FROM cutk WHERE key IN (SELECT key FROM cutk GROUP BY key HAVING count(*) >= 2)),
+con AS (SELECT key, 1.0 / count(*) AS c FROM blk GROUP BY key HAVING count(*) >= 2 AND count(*) * (count(*) - 1) / 2 <= 100000),
+raw AS (SELECT x.ref_id AS a, y.ref_id AS b, sum(c) AS w FROM blk x JOIN blk y ON x.key = y.key AND x.ref_id < y.ref_id JOIN con ON con.key = x.key GROUP BY ALL),
+edge AS (SELECT a, b, w * len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) AS w
+    FROM (SELECT a, b, w, ra.tokens AS ta, rb.tokens AS tb FROM raw JOIN krec ra ON ra.ref_id = a JOIN krec rb ON rb.ref_id = b)),
+e AS (SELECT a, b FROM edge WHERE round(w, 9) >= 0.2), {components_sql("e", "rec")}, sz AS (SELECT root, count(*) AS size FROM comp GROUP BY root),
+num AS (SELECT root, row_number() OVER (ORDER BY size DESC, root) - 1 AS cluster_id FROM sz)
+SELECT comp.ref_id, num.cluster_id FROM comp JOIN num USING (root)"""
+
+
+@BOOK.add(_FLAGSHIP)
 def flagship_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All steps with merge and purge on part records: cluster of every part."""
     prepared = flagship.prepare(base.parts(spark, sf_dir), base.PART_FREQUENCY)
