@@ -21,7 +21,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -119,12 +119,15 @@ def token_counts(pages: DataFrame, url_col: str, rules: tuple[Rule, ...]) -> dic
 
 
 def judge_column(url: str | Column, rules: tuple[Rule, ...], counts: Mapping[str, int] | None = None) -> Column:
-    """struct(host, path, rule, verdict). Rules travel with the function: a rule set is configuration, not data."""
-    index = RuleIndex(rules, counts)
+    """struct(host, path, rule, verdict). Rules are broadcast, and indexed and compiled once by each worker that needs them."""
+    sent = SparkSession.getActiveSession().sparkContext.broadcast((rules, None if counts is None else dict(counts)))
+    made: list[RuleIndex] = []
 
     @F.arrow_udf("host string, path string, rule string, verdict string")
     def judge(urls: pa.Array) -> pa.Array:
-        rows = [index.judge(url) for url in urls.to_pylist()]
+        if not made:
+            made.append(RuleIndex(*sent.value))
+        rows = [made[0].judge(url) for url in urls.to_pylist()]
         columns = list(zip(*rows)) or [(), (), (), ()]
         return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], ["host", "path", "rule", "verdict"])
 
