@@ -13,6 +13,9 @@ def test_commands(spark, tmp_path):
     sample.select("RecID", "Name", "Address").coalesce(1).write.option("header", True).csv(at("people"))
     main(["blocks", "--input", at("people"), "--output", at("blocks"), "--max-depth", "2", "--stop-share", "0"], spark)
     assert {"block_id", "Name"} <= set(spark.read.option("header", True).csv(at("blocks")).columns)
+    (tmp_path / "known.txt").write_text("birch\nivy\n")
+    main(["blocks", "--input", at("people"), "--output", at("fixed"), "--max-depth", "1", "--global-correction", "--gc-min-freq-std", "3", "--word-list", at("known.txt"), "--jaccard", "--report"], spark)
+    assert "similarity_scores" in spark.read.json(at("fixed.scores")).columns
     (tmp_path / "S1G.txt").write_text("id,body\n" + "\n".join(f"{r['RecID']},{r['Name']} {r['Address']}" for r in sample.collect()))
     (tmp_path / "truthABCgoodDQ.txt").write_text("id,truth\n" + "\n".join(f"{r['RecID']},{r['source_id']}" for r in sample.collect()))
     main(["clusters", "--input", at("S1G.txt"), "--truth-dir", str(tmp_path), "--output", at("clusters"), "--full-blocking", "--no-merge", "--max-recursion-depth", "1"], spark)

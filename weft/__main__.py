@@ -50,12 +50,17 @@ def _blocks(spark: SparkSession, args: argparse.Namespace) -> None:
     config = minhash.BlockerConfig(
         id_column=args.id_column, blocking_columns=tuple(args.columns), q=args.q, alpha=args.alpha, beta=args.beta, max_depth=args.max_depth,
         min_block_size=args.min_block_size, max_keys_per_level=args.max_keys_per_level, run_global_correction=args.global_correction,
-        auto_stopword_top_percentile=args.stop_share, manual_stopwords=tuple(args.stopwords),
+        auto_stopword_top_percentile=args.stop_share, manual_stopwords=tuple(args.stopwords), gc_min_freq_std=args.gc_min_freq_std,
+        gc_min_len_std=args.gc_min_len_std, gc_max_freq_err=args.gc_max_freq_err, gc_word_list=args.word_list,
     )
     blocker = minhash.RecursiveMinHashBlocker(config).fit(files.read_table(spark, args.input))
     export = blocker.export()
     files.write_csv(export.withColumn("used_keys_path", F.array_join("used_keys_path", " ")), args.output)
     files.write_metrics(blocker.metrics(), args.output)
+    if args.jaccard:
+        blocker.nested().write.mode("overwrite").json(f"{args.output}.scores")
+    if args.report:
+        minhash.print_report(blocker.blocks())
 
 
 def _people(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -109,9 +114,13 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--columns", nargs="+", default=["Name", "Address"])
     b.add_argument("--stopwords", nargs="*", default=[])
     b.add_argument("--stop-share", type=float, default=0.005)
-    for name, default in (("q", 2), ("alpha", 2), ("beta", 1000), ("max-depth", 5), ("min-block-size", 2), ("max-keys-per-level", 3)):
+    for name, default in (("q", 2), ("alpha", 2), ("beta", 1000), ("max-depth", 5), ("min-block-size", 2), ("max-keys-per-level", 3),
+                          ("gc-min-freq-std", 10), ("gc-min-len-std", 3), ("gc-max-freq-err", 3)):
         b.add_argument(f"--{name}", type=int, default=default)
+    b.add_argument("--word-list", help="known words, one a line, which the correction leaves alone while they are rare")
     b.add_argument("--global-correction", action="store_true")
+    b.add_argument("--jaccard", action="store_true", help="also write blocks with the similarities of their pairs")
+    b.add_argument("--report", action="store_true", help="print blocks by depth and size")
 
     p = command("people", _people)
     p.add_argument("--extract", action="store_true", help="lines are free text; the default extractor reads name: value pairs or JSON")

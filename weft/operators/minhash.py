@@ -16,6 +16,7 @@ from weft.operators.correct import correction_map, apply_corrections
 from weft.operators.graph import dense_index
 from weft.operators.tokens import term_frequency
 from weft.session import cut
+from weft.sources.files import read_words
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,7 @@ class BlockerConfig:
     gc_min_freq_std: int = 10
     gc_min_len_std: int = 3
     gc_max_freq_err: int = 3
+    gc_word_list: str | None = None  # path of known words, which are not corrected while rare
 
 
 def tokenize(df: DataFrame, config: BlockerConfig) -> DataFrame:
@@ -146,7 +148,8 @@ class RecursiveMinHashBlocker:
         config = self.config
         records = tokenize(df, config)
         if config.run_global_correction:
-            mapping = correction_map(term_frequency(records), None, config.gc_min_freq_std, config.gc_min_len_std, config.gc_max_freq_err)
+            words = read_words(df.sparkSession, config.gc_word_list) if config.gc_word_list else None
+            mapping = correction_map(term_frequency(records), words, config.gc_min_freq_std, config.gc_min_len_std, config.gc_max_freq_err)
             records = apply_corrections(records, mapping)
         self.source, self.records = df, cut(records)
         keys = cut(token_keys(self.records, config.q))
@@ -196,6 +199,11 @@ def report(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("depth", "size").agg(F.count(F.lit(1)).alias("n"))
 
 
+def print_report(blocks: DataFrame, shown: int = 20) -> None:
+    """The console report: blocks by depth and size, most frequent first."""
+    report(blocks).orderBy(F.col("n").desc(), "depth", "size").show(shown, truncate=False)
+
+
 def demo(spark: SparkSession) -> DataFrame:
     """Seven records with three people in it."""
     rows = [
