@@ -190,8 +190,10 @@ def test_classes_in_crowded_slots(spark, monkeypatch, afforded):
     df = spark.createDataFrame(list(enumerate(prints)), "id long, p binary").repartition(4)
     got = {bytes(r["p"]): r["class_id"] for r in E.near_classes(df).collect()}
     want = plain_classes(prints, 0.8)
-    wrong = [k for k in range(len(prints)) if got[prints[k]] != want[k] and not any(k in p for p in pairs)]
-    assert len(got) == len(set(prints)) and len(wrong) <= 3
+    chain = list(range(1560, 1590))  # each link is found with a chance, and one that is missed parts the chain
+    assert sum(got[prints[a]] == got[prints[a + 1]] for a in chain[:-1]) >= 28
+    wrong = [k for k in range(len(prints)) if got[prints[k]] != want[k] and k not in chain and not any(k in p for p in pairs)]
+    assert len(got) == len(set(prints)) and len(wrong) <= 1
     assert sum(got[prints[a]] == got[prints[b]] for a, b in pairs) / len(pairs) >= 0.9
 
 
@@ -199,7 +201,7 @@ def test_band_plan():
     assert E.band_plan(1, 0.8)[0] == 16
     for n in (10**5, 10**7, 10**9):
         width, count = E.band_plan(n, 0.8)
-        assert n * 4 <= 2**width <= n * 8.1 and 1 - (1 - 0.9**width) ** count >= 0.98
+        assert n * 64 <= 2 ** (width * E.EVEN) <= n * 128 and 1 - (1 - 0.9**width) ** count >= 0.95
 
 
 def test_near_texts_share_a_class(spark):

@@ -17,8 +17,8 @@ texts of different lengths still look at mostly the same places. The likeness of
 least 0, for d differing bits, as unrelated bits agree half the time.
 
 Near texts are found by bands. A band is a sample of bits, and texts that agree on a whole band meet in its slot and are
-verified by their likeness. Bands are as wide as the number of fingerprints asks for (some two bits more than its logarithm, so that
-slots hold few strangers) and as many as find a pair at the least likeness with a chance of FOUND. No slot is capped: slots.py
+verified by their likeness. Bands are as wide as the number of fingerprints asks for (they tell some six bits more than its
+logarithm, so that slots hold few strangers) and as many as find a pair at the least likeness with a chance of FOUND. No slot is capped: slots.py
 says how members of a crowded one are tried.
 
 Defined cases: a null text counts as empty; an empty text has the zero fingerprint. Equal texts have equal
@@ -42,7 +42,6 @@ from pyspark.sql import functions as F
 
 from weft.llm.slots import connect, crowded
 from weft.llm.text import utf8
-from weft.operators.components import connected_components
 from weft.session import cut
 
 BITS = 512
@@ -53,8 +52,10 @@ SEED = 20_240_601
 PAD = 255
 #: Blocks that walk together, characters hashed at a time, and outer steps times texts held: they bound a worker's memory.
 TOGETHER, PIECE, HELD = 4096, 1 << 20, 1 << 22
+#: How much a bit of these fingerprints tells, as characters are not equally frequent: bits of entropy, from texts in four languages.
+EVEN = 0.89
 #: Chance that two fingerprints of the least likeness share a band.
-FOUND = 0.98
+FOUND = 0.95
 
 
 @lru_cache(maxsize=1)
@@ -333,13 +334,13 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
 def band_plan(n: int, least: float) -> tuple[int, int]:
     """Bits of a band and number of bands for n fingerprints."""
-    width = min(62 - 16, max(16, math.ceil(math.log2(max(2, n))) + 2))
+    width = min(62 - 16, max(16, math.ceil((math.log2(max(2, n)) + 6) / EVEN)))
     agree = (1 + least) / 2  # of a bit, at the least likeness
     return width, math.ceil(math.log(1 - FOUND) / math.log(1 - agree**width))
 
 
-def near_links(own: DataFrame, least: float) -> DataFrame:
-    """Verified links (a, b) that connect all of own(pid, p) that share a band and are of at least that likeness."""
+def band_classes(own: DataFrame, least: float) -> DataFrame:
+    """(pid, root): classes of own(pid, p) that verified links make, of at least that likeness between texts that share a band."""
     width, count = band_plan(own.count(), least)
     rng = np.random.Generator(np.random.PCG64(SEED + 1))
     bands = np.stack([rng.choice(BITS, width, replace=False) for _ in range(count)])
@@ -362,8 +363,7 @@ def near_links(own: DataFrame, least: float) -> DataFrame:
 def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """(p, class_id): of every distinct fingerprint of prints(id, p), the smallest id among all that links connect it with."""
     own = cut(prints.groupBy("p").agg(F.min("id").alias("least_id")).select(F.monotonically_increasing_id().alias("pid"), "p", "least_id"))
-    roots = connected_components(near_links(own, least)).select(F.col("node").alias("pid"), "root")
-    rooted = own.join(roots, "pid", "left").select("p", "least_id", F.coalesce("root", "pid").alias("root"))
+    rooted = own.join(band_classes(own, least), "pid", "left").select("p", "least_id", F.coalesce("root", "pid").alias("root"))
     return rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select("p", "class_id")
 
 

@@ -167,8 +167,8 @@ def segment_plan(n: int, least: float) -> tuple[int, int]:
     return size, math.ceil(math.log(1 - FOUND) / math.log(1 - meet))
 
 
-def long_links(own: DataFrame, least: float) -> DataFrame:
-    """Verified links (a, b) that connect all of own(pid, p), distinct long fingerprints, that meet and are near."""
+def segment_classes(own: DataFrame, least: float) -> DataFrame:
+    """(pid, root): classes that verified links make of own(pid, p), distinct long fingerprints that meet and are near."""
     n = own.count()
     size, count = segment_plan(n, least)
     rng = np.random.Generator(np.random.PCG64(11))
@@ -201,8 +201,7 @@ def long_links(own: DataFrame, least: float) -> DataFrame:
 def near_groups(prints: DataFrame, id_col: str = "doc_id", least: float = 0.8) -> DataFrame:
     """(p, root, component_id) for every distinct long fingerprint of prints(id_col, p); root names the group."""
     own = cut(prints.groupBy("p").agg(F.min(id_col).alias("least_id")).select(F.monotonically_increasing_id().alias("pid"), "p", "least_id"))
-    roots = connected_components(long_links(own, least)).select(F.col("node").alias("pid"), "root")
-    rooted = own.join(roots, "pid", "left").select("p", "least_id", F.coalesce("root", "pid").alias("root"))
+    rooted = own.join(segment_classes(own, least), "pid", "left").select("p", "least_id", F.coalesce("root", "pid").alias("root"))
     return rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("p", "root", "component_id")
 
 

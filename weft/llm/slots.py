@@ -2,10 +2,11 @@
 
 Items are numbers, a slot is a key under which near items are likely to meet. Trying every pair of a slot is exact but costs the
 square of its size, and a great group of near copies fills many slots. But only the classes that links make count, and members
-that are connected already need not be tried against each other. So while pairs are many, each slot's members are tried
-against one of them that is outside the slot's largest class; what that links grows that class, and the pairs that remain are
-those between different classes. When these are few, or when this way makes them no fewer, all of them are tried. Hence no
-link between two classes is ever missed, and a group of near copies costs about its size in each slot.
+that are connected already need not be tried against each other. So all members of a slot are first tried against its
+smallest. Where this leaves members of a slot in different classes, and while pairs of these are many, members are tried against one
+that is outside the slot's largest class, and so on; what that links grows that class. When the pairs of members of different
+classes are few, or when this way makes them no fewer, all of them are tried. Hence no link between two classes is ever
+missed, and a group of near copies costs about its size in each slot.
 """
 
 from __future__ import annotations
@@ -17,27 +18,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.operators.components import connected_components
-from weft.session import cut
+from weft.session import cut, forget
 
 #: Pairs to a member of a slot, on average, that are tried without more ado.
 AFFORDED = 16
 
 
 def crowded(slots: DataFrame) -> DataFrame:
-    """The rows (slot, pid) of slots that several items share; one shuffle."""
-    return slots.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("slot"))).where("n > 1").select("slot", "pid")
+    """(slot, pid, n, lead): the rows of slots that several items share, with their number and the smallest item; one shuffle."""
+    own = Window.partitionBy("slot")
+    return slots.withColumns({"n": F.count(F.lit(1)).over(own), "lead": F.min("pid").over(own)}).where("n > 1")
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs(a, b) with root_a, root_b, the classes of their ends so far."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("pid").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.withColumns({f"root_{end}": F.coalesce(f"root_{end}", end) for end in ("a", "b")})
+
+
+def _grown(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes after links found(a, b) between some of them. Only these classes are looked at again, as nodes of a small graph."""
+    if found.isEmpty():
+        return roots
+    between = cut(_rooted(found, roots).select("root_a", "root_b").distinct())
+    merged = cut(connected_components(between, "root_a", "root_b").withColumnRenamed("root", "to"))
+    alone = merged.select(F.col("node").alias("pid")).join(roots, "pid", "left_anti").select("pid", F.col("pid").alias("root"))
+    moved = roots.unionByName(alone).join(merged, F.col("root") == F.col("node"), "left")
+    return cut(moved.select("pid", F.coalesce("to", "root").alias("root")))
 
 
 def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) that connect all near items of members(slot, pid); verified keeps the near ones of distinct pairs (a, b), a < b."""
+    """(pid, root): classes that links make of crowded members, without those of one; verified keeps the near ones of distinct
+    pairs (a, b), a < b."""
     members = cut(members)
-    links = members.sparkSession.createDataFrame([], "a long, b long")
+    tried = members.where("pid != lead").select(F.col("lead").alias("a"), F.col("pid").alias("b")).distinct()
+    links = cut(verified(tried).select("a", "b"))
+    roots = cut(connected_components(links).select(F.col("node").alias("pid"), "root"))
+    # Slots of more than two that hold a member of another class than their smallest.
+    apart = _rooted(tried.join(links, ["a", "b"], "left_anti"), roots).where("root_a != root_b").select(F.col("a").alias("lead"), F.col("b").alias("pid"))
+    mixed = members.where("n > 2").join(apart, ["lead", "pid"]).select("slot").distinct()
+    every, members = members, cut(members.join(mixed, "slot", "left_semi").select("slot", "pid", "lead"))
+    for done in (every, links):
+        forget(done)
     turn, before = 0, math.inf
     while True:
-        rows = members.select("slot", "pid", F.col("pid").alias("root"))
-        if turn:
-            roots = connected_components(links).select(F.col("node").alias("pid"), "root")
-            rows = members.join(roots, "pid", "left").select("slot", "pid", F.coalesce("root", "pid").alias("root"))
+        rows = members.join(roots, "pid", "left").select("slot", "pid", "lead", F.coalesce("root", "pid").alias("root"))
         # Of each slot the largest class so far, and how many members are outside it.
         sizes = rows.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("n"))
         state = sizes.groupBy("slot").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
@@ -45,16 +71,18 @@ def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> D
         rows = cut(rows.join(state, "slot"))
         total = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("root") != F.col("most"), F.col("n"))).alias("pairs")).first()
         if not total["rows"]:
-            return links
-        other = rows.where(F.col("root") != F.col("most")).select("slot", F.col("pid").alias("b"), F.col("root").alias("other"))
+            return roots
+        other = rows.where((F.col("root") != F.col("most")) & (F.col("pid") != F.col("lead"))).select("slot", F.col("pid").alias("b"), F.col("root").alias("other"))
         last = total["pairs"] <= AFFORDED * total["rows"] or total["pairs"] > before / 2  # few, or as few as this way makes them
         if not last:
-            lead = other.groupBy("slot").agg(F.min_by(F.struct("b", "other"), F.xxhash64("b", F.lit(turn))).alias("lead"))
-            other = lead.select("slot", "lead.*")
-        met = rows.join(other, "slot").where(F.col("root") != F.col("other"))
+            lead = other.groupBy("slot").agg(F.min_by(F.struct("b", "other"), F.xxhash64("b", F.lit(turn))).alias("next"))
+            other = lead.select("slot", "next.*")
+        met = rows.join(other, "slot").where((F.col("root") != F.col("other")) & (F.col("pid") != F.col("lead")))
         if last:
             met = met.where((F.col("root") == F.col("most")) | (F.col("pid") < F.col("b")))
-        found = verified(met.select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b")).distinct())
-        links, turn, before = cut(links.unionByName(found.select("a", "b"))), turn + 1, total["pairs"]
+        found = cut(verified(met.select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b")).distinct()).select("a", "b"))
+        roots, turn, before = _grown(roots, found), turn + 1, total["pairs"]
+        for done in (rows, found):
+            forget(done)
         if last:
-            return links
+            return roots
