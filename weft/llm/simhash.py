@@ -9,7 +9,7 @@ receives at most as many rows as a ball has points (65), whatever the number of
 Two bits of 64 find nearly equal texts only. Texts whose shingles are alike to 0.8 differ in about a seventh of all bits, too many
 for a ball. So keep_one works on long fingerprints of LONG bits, of which it takes segments, and hashes balls of radius two
 around each segment: every segment emits all variants within one flip, and two texts meet if any segment differs in at
-most two bits. Segments are some six bits longer than the logarithm of the number of fingerprints, so that few strangers meet,
+most two bits. Segments are some ten bits longer than the logarithm of the number of fingerprints, so that few strangers meet,
 and so many that texts of the least likeness meet with a chance of FOUND, nearer ones nearly always. Those that meet are
 verified on all LONG bits. A variant where a great group of near copies meets is not capped; slots.py says how it is searched.
 
@@ -161,7 +161,7 @@ def differing(likeness: float) -> float:
 
 def segment_plan(n: int, least: float) -> tuple[int, int]:
     """Bits of a segment and number of segments for n long fingerprints."""
-    size = min(56, max(16, math.ceil(math.log2(max(2, n))) + 6))
+    size = min(56, max(16, math.ceil(math.log2(max(2, n))) + 10))
     p = differing(least)
     meet = sum(math.comb(size, k) * p**k * (1 - p) ** (size - k) for k in range(3))
     return size, math.ceil(math.log(1 - FOUND) / math.log(1 - meet))
