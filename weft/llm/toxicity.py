@@ -21,6 +21,7 @@ results; an empty table gives an empty result; other columns, whatever their nam
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -189,17 +190,19 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int | None = None, batch:
     net = initial(seed)
     rng = np.random.Generator(np.random.PCG64(seed + 1))
     vocabulary: dict[bytes, int] = {}
-    rows: list[tuple[int, ...]] = [(0,) * (1 + len(PREFIXES))]
+    flat = array("i", (0,) * (1 + len(PREFIXES)))  # embedding rows of the words, packed: the driver holds many words
     docs = []
     for text in texts:
-        ids = []
+        ids = array("i")
         for word in words_of(text):
-            if word not in vocabulary:
-                vocabulary[word] = len(rows)
-                rows.append(rows_of(word))
-            ids.append(vocabulary[word])
-        docs.append(np.array(ids, np.int32))
-    hashed = np.array(rows, np.int64)
+            place = vocabulary.get(word)
+            if place is None:
+                place = vocabulary[word] = len(vocabulary) + 1
+                flat.extend(rows_of(word))
+            ids.append(place)
+        docs.append(np.frombuffer(ids, np.int32))
+    del vocabulary
+    hashed = np.frombuffer(flat, np.int32).reshape(-1, 1 + len(PREFIXES))
     net.embeddings[:, 0] = _odds(docs, hashed, labels)
     net.kernels[1][0, :, 0] = 0
     net.kernels[1][0, 0, 0] = net.out[0] = 1.0
@@ -375,7 +378,10 @@ def train(
     truth = np.array([y for _, y, _ in rows], np.int64)
     if not rows or truth.all() or not truth.any():
         return None
-    net = fit([text for _, _, text in rows], truth)
+    texts = [text for _, _, text in rows]
+    del rows
+    net = fit(texts, truth)
+    del texts
     counts = {row["__y"]: row["n"] for row in ids.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     net.shift = float(np.log(counts[1] / counts[0]))  # batches had equal shares
     calibrate(net, kept_out_scores(docs, ids, net, id_col, text_col, lang_col))
