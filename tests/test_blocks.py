@@ -128,6 +128,23 @@ def test_partition_keeps_every_record_once(spark):
     assert keys == {1: ["UNIQUE_1"], 2: ["UNIQUE_2"]}
 
 
+def test_partitions_broadcast_nothing_by_estimate(spark, tmp_path, monkeypatch):
+    """Compressed files of records look small enough to broadcast, however many tokens come of them."""
+    spark.createDataFrame(naive_records(3, 40), REC).write.parquet(str(tmp_path / "records"))
+    plans, cut = [], partition.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(partition, "cut", seen)
+    df = spark.read.parquet(str(tmp_path / "records"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert partition.iterative_partition(df, tokens.term_frequency(df), 4).count() == 40
+    assert len(plans) > 1 and not any("BroadcastHashJoin" in p for p in plans)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
 def test_colliding_partition_keys_unite(spark):
     blocks = spark.createDataFrame([(["A"], 1), (["A"], 2), (["B"], 3), (["B"], 4)], "key array<string>, ref_id long")
     df = spark.createDataFrame([(1, ["A", "B"]), (2, ["A", "B"]), (3, ["A", "B"]), (4, ["A", "B"])], REC)

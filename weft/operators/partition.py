@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.operators.blocks import block_sizes
 from weft.operators.tokens import distinct_tokens, mean_gate
-from weft.session import cut
+from weft.session import cut, measured
 
 
 def initial_partition(records: DataFrame, freq: DataFrame, factor: float = 1.1) -> DataFrame:
@@ -33,11 +33,12 @@ def refine_partition(blocks: DataFrame, records: DataFrame, beta: int) -> DataFr
 
 def iterative_partition(records: DataFrame, freq: DataFrame, stop_k: int, factor: float = 1.1) -> DataFrame:
     """Refinement with beta 2, 3, ..., stop_k until nothing changes."""
-    blocks = cut(initial_partition(records, freq, factor))
-    for beta in range(2, stop_k + 1):
-        new = cut(refine_partition(blocks, records, beta))
-        changed = new.join(blocks, ["key", "ref_id"], "left_anti")
-        if changed.isEmpty():
-            break
-        blocks = new
+    with measured(records.sparkSession):
+        blocks = cut(initial_partition(records, freq, factor))
+        for beta in range(2, stop_k + 1):
+            new = cut(refine_partition(blocks, records, beta))
+            changed = new.join(blocks, ["key", "ref_id"], "left_anti")
+            if changed.isEmpty():
+                break
+            blocks = new
     return blocks

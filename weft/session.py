@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def measured(spark: SparkSession) -> Iterator[None]:
+    """Inside, a join that runs broadcasts a side only if that has been measured at run time to be as small as Spark's threshold asks.
+
+    What is planned from files alone is an estimate: compressed files, exploded lists and checkpoints made of either are larger by far.
+    """
+    planned, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    most, own = spark.conf.get(planned), spark.conf.get(adaptive, None)
+    spark.conf.set(adaptive, own or most)
+    spark.conf.set(planned, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(planned, most)
+        if own:
+            spark.conf.set(adaptive, own)
+        else:
+            spark.conf.unset(adaptive)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a checkpoint that cut() returned, once what was made of it is checkpointed itself or no longer needed.
 
