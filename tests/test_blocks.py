@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from itertools import combinations
 
 import pytest
@@ -10,6 +11,7 @@ from weft.operators import blocks as B
 from weft.operators import correct, graph, layout, merge, metrics, partition, refine, seeds, signature, tokens, trie
 from weft.operators.components import connected_components
 from weft.plans import flagship, pii, signatures
+from weft.session import cut
 from weft.sources.files import sample_records
 
 REC = "ref_id long, tokens array<string>"
@@ -145,6 +147,25 @@ def test_partitions_broadcast_nothing_by_estimate(spark, tmp_path, monkeypatch):
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
 
 
+def test_checkpoints_and_components_leave_no_shuffle_files(spark):
+    """Else rounds pile up: every shuffle has three small files for each writing task until the driver collects its garbage."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+
+    def shuffles() -> set[str]:
+        return {name for name in blocks.diskBlockManager().getAllFiles().mkString("\n").splitlines() if "shuffle_" in name}
+
+    spark.sparkContext._jvm.System.gc()
+    edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(5, "a")
+    before = shuffles()
+    roots = cut(connected_components(edges))
+    for _ in range(50):  # files go shortly after
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert roots.where("root = 0").count() == 301
+
+
 def test_colliding_partition_keys_unite(spark):
     blocks = spark.createDataFrame([(["A"], 1), (["A"], 2), (["B"], 3), (["B"], 4)], "key array<string>, ref_id long")
     df = spark.createDataFrame([(1, ["A", "B"]), (2, ["A", "B"]), (3, ["A", "B"]), (4, ["A", "B"])], REC)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.slots import connect, crowded
 from weft.llm.text import utf8
-from weft.session import cut
+from weft.session import cut, tidy
 
 BITS = 512
 #: Characters whose hash decides a cut, mean and greatest distance of cuts.
@@ -56,6 +56,8 @@ TOGETHER, PIECE, HELD = 4096, 1 << 20, 1 << 22
 EVEN = 0.89
 #: Chance that two fingerprints of the least likeness share a band.
 FOUND = 0.95
+#: Leading bits that a slot's members carry, and the chance that those of a pair of the least likeness are too far apart to try it.
+SKETCH, LOST = 64, 1e-5
 
 
 @lru_cache(maxsize=1)
@@ -246,9 +248,10 @@ def with_successors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    counted = docs.select(F.col(id_col).cast("long").alias("id")).agg(
-        F.percentile_approx("id", [k / parts for k in range(1, parts)], 10 * parts).alias("q"), F.count(F.lit(1)).alias("n"), F.count("id").alias("known")
-    ).first()
+    with tidy(spark):
+        counted = docs.select(F.col(id_col).cast("long").alias("id")).agg(
+            F.percentile_approx("id", [k / parts for k in range(1, parts)], 10 * parts).alias("q"), F.count(F.lit(1)).alias("n"), F.count("id").alias("known")
+        ).first()
     bounds, often = np.unique(np.array(counted["q"] or [], np.int64), return_counts=True)
     pieces = np.where(often > 1, np.minimum(often + 1, SPLITS - 1), 0)
     lost = min(SPLITS, 1 + parts * (counted["n"] - counted["known"]) // max(1, counted["n"]))
@@ -267,7 +270,8 @@ def with_successors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     placed = named.withColumn("bucket", bucket_of("id", "h"))
     first = F.struct((F.coalesce(-F.col("id"), F.lit(0))).alias("down"), "h")
-    tops = {row["bucket"]: row["top"] for row in placed.groupBy("bucket").agg(F.min_by(F.struct("id", "h"), first).alias("top")).collect()}
+    with tidy(spark):
+        tops = {row["bucket"]: row["top"] for row in placed.groupBy("bucket").agg(F.min_by(F.struct("id", "h"), first).alias("top")).collect()}
     filled = sorted(tops)
     after = [(filled[k - 1], *tops[b], b) for k, b in enumerate(filled)]  # the first bucket's head closes the last one
     heads = spark.createDataFrame(after, "goes long, top long, top_h long, head_of long")
@@ -339,6 +343,16 @@ def band_plan(n: int, least: float) -> tuple[int, int]:
     return width, math.ceil(math.log(1 - FOUND) / math.log(1 - agree**width))
 
 
+def sketch_limit(least: float) -> int:
+    """Differing bits of two sketches beyond which their pair is not tried."""
+    p, t, tail = (1 - least) / 2, 0, 1.0
+    while True:
+        tail -= math.comb(SKETCH, t) * p**t * (1 - p) ** (SKETCH - t)
+        if tail <= LOST:
+            return t
+        t += 1
+
+
 def band_classes(own: DataFrame, least: float) -> DataFrame:
     """(pid, root): classes of own(pid, p) that verified links make, of at least that likeness between texts that share a band."""
     width, count = band_plan(own.count(), least)
@@ -352,12 +366,19 @@ def band_classes(own: DataFrame, least: float) -> DataFrame:
         keys = np.stack([bits[:, band] @ weights + (np.int64(k) << np.int64(width)) for k, band in enumerate(bands)], axis=1)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, count), pa.int32()), pa.array(keys.reshape(-1)))
 
+    @F.arrow_udf("long")
+    def sketch_of(values: pa.Array) -> pa.Array:
+        return pa.array(np.ascontiguousarray(_rows_of(values)[:, : SKETCH // 8]).view(np.int64).reshape(-1))
+
+    def plausible(x: Column, y: Column) -> Column:
+        return F.bit_count(x.bitwiseXOR(y)) <= sketch_limit(least)
+
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = own.select(F.col("pid").alias("a"), F.col("p").alias("x")), own.select(F.col("pid").alias("b"), F.col("p").alias("y"))
         near = F.arrow_udf(_likeness_of, "double")("x", "y")
         return pairs.join(left, "a").join(right, "b").select("a", "b", near.alias("near")).where(F.col("near") >= least)
 
-    return connect(crowded(own.select("pid", F.explode(slots_of("p")).alias("slot"))), verified)
+    return connect(crowded(own.select("pid", sketch_of("p").alias("sketch"), F.explode(slots_of("p")).alias("slot"))), verified, plausible)
 
 
 def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:

@@ -7,6 +7,9 @@ smallest. Where this leaves members of a slot in different classes, and while pa
 that is outside the slot's largest class, and so on; what that links grows that class. When the pairs of members of different
 classes are few, or when this way makes them no fewer, all of them are tried. Hence no link between two classes is ever
 missed, and a group of near copies costs about its size in each slot.
+
+Items may carry a sketch, 64 bits that tell most strangers apart. Then a member is held against its slot's smallest where the slot is
+read, and later inside the join, so that a pair becomes a row and is verified only where the sketches allow it.
 """
 
 from __future__ import annotations
@@ -14,20 +17,24 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.operators.components import connected_components
-from weft.session import cut, forget
+from weft.session import cut, forget, tidy
 
 #: Pairs to a member of a slot, on average, that are tried without more ado.
 AFFORDED = 16
 
 
 def crowded(slots: DataFrame) -> DataFrame:
-    """(slot, pid, n, lead): the rows of slots that several items share, with their number and the smallest item; one shuffle."""
+    """(slot, pid, n, lead): the rows of slots that several items share, with their number and the smallest item; one shuffle.
+    With a sketch in slots also sketch and lead_sketch."""
     own = Window.partitionBy("slot")
-    return slots.withColumns({"n": F.count(F.lit(1)).over(own), "lead": F.min("pid").over(own)}).where("n > 1")
+    columns = {"n": F.count(F.lit(1)).over(own), "lead": F.min("pid").over(own)}
+    if "sketch" in slots.columns:
+        columns["lead_sketch"] = F.min_by("sketch", "pid").over(own)
+    return slots.withColumns(columns).where("n > 1")
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -45,39 +52,53 @@ def _grown(roots: DataFrame, found: DataFrame) -> DataFrame:
     merged = cut(connected_components(between, "root_a", "root_b").withColumnRenamed("root", "to"))
     alone = merged.select(F.col("node").alias("pid")).join(roots, "pid", "left_anti").select("pid", F.col("pid").alias("root"))
     moved = roots.unionByName(alone).join(merged, F.col("root") == F.col("node"), "left")
-    return cut(moved.select("pid", F.coalesce("to", "root").alias("root")))
+    grown = cut(moved.select("pid", F.coalesce("to", "root").alias("root")))
+    for done in (between, merged, roots):
+        forget(done)
+    return grown
 
 
-def connect(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def connect(
+    members: DataFrame, verified: Callable[[DataFrame], DataFrame], plausible: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
     """(pid, root): classes that links make of crowded members, without those of one; verified keeps the near ones of distinct
-    pairs (a, b), a < b."""
+    pairs (a, b), a < b; plausible says of two sketches, where members have them, whether their pair needs to be tried."""
+    sketch = ["sketch"] if plausible else []
+
+    def allowed(x: str, y: str) -> Column:
+        return plausible(F.col(x), F.col(y)) if plausible else F.lit(True)
+
     members = cut(members)
-    tried = members.where("pid != lead").select(F.col("lead").alias("a"), F.col("pid").alias("b")).distinct()
-    links = cut(verified(tried).select("a", "b"))
+    tried = members.where(F.col("pid") != F.col("lead")).where(allowed("sketch", "lead_sketch")).select(F.col("lead").alias("a"), F.col("pid").alias("b"))
+    links = cut(verified(tried.distinct()).select("a", "b"))
     roots = cut(connected_components(links).select(F.col("node").alias("pid"), "root"))
     # Slots of more than two that hold a member of another class than their smallest.
-    apart = _rooted(tried.join(links, ["a", "b"], "left_anti"), roots).where("root_a != root_b").select(F.col("a").alias("lead"), F.col("b").alias("pid"))
+    held = members.where("n > 2 AND pid != lead").select(F.col("lead").alias("a"), F.col("pid").alias("b")).distinct()
+    apart = _rooted(held.join(links, ["a", "b"], "left_anti"), roots).where("root_a != root_b").select(F.col("a").alias("lead"), F.col("b").alias("pid"))
     mixed = members.where("n > 2").join(apart, ["lead", "pid"]).select("slot").distinct()
-    every, members = members, cut(members.join(mixed, "slot", "left_semi").select("slot", "pid", "lead"))
+    every, members = members, cut(members.join(mixed, "slot", "left_semi").select("slot", "pid", "lead", *sketch))
     for done in (every, links):
         forget(done)
     turn, before = 0, math.inf
     while True:
-        rows = members.join(roots, "pid", "left").select("slot", "pid", "lead", F.coalesce("root", "pid").alias("root"))
+        rows = members.join(roots, "pid", "left").select("slot", "pid", "lead", F.coalesce("root", "pid").alias("root"), *sketch)
         # Of each slot the largest class so far, and how many members are outside it.
         sizes = rows.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("n"))
         state = sizes.groupBy("slot").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
         state = state.where(F.col("n") > F.col("top.n")).select("slot", F.col("top.root").alias("most"), "n")
         rows = cut(rows.join(state, "slot"))
-        total = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("root") != F.col("most"), F.col("n"))).alias("pairs")).first()
+        with tidy(rows.sparkSession):
+            total = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("root") != F.col("most"), F.col("n"))).alias("pairs")).first()
         if not total["rows"]:
             return roots
-        other = rows.where((F.col("root") != F.col("most")) & (F.col("pid") != F.col("lead"))).select("slot", F.col("pid").alias("b"), F.col("root").alias("other"))
+        other = rows.where((F.col("root") != F.col("most")) & (F.col("pid") != F.col("lead"))).select(
+            "slot", F.col("pid").alias("b"), F.col("root").alias("other"), *[F.col(c).alias("other_sketch") for c in sketch]
+        )
         last = total["pairs"] <= AFFORDED * total["rows"] or total["pairs"] > before / 2  # few, or as few as this way makes them
         if not last:
-            lead = other.groupBy("slot").agg(F.min_by(F.struct("b", "other"), F.xxhash64("b", F.lit(turn))).alias("next"))
+            lead = other.groupBy("slot").agg(F.min_by(F.struct("b", "other", *[f"other_{c}" for c in sketch]), F.xxhash64("b", F.lit(turn))).alias("next"))
             other = lead.select("slot", "next.*")
-        met = rows.join(other, "slot").where((F.col("root") != F.col("other")) & (F.col("pid") != F.col("lead")))
+        met = rows.join(other, "slot").where((F.col("root") != F.col("other")) & (F.col("pid") != F.col("lead"))).where(allowed("sketch", "other_sketch"))
         if last:
             met = met.where((F.col("root") == F.col("most")) | (F.col("pid") < F.col("b")))
         found = cut(verified(met.select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b")).distinct()).select("a", "b"))

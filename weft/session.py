@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,10 +38,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+@contextmanager
+def _set(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Inside, the settings have these values."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def tidy(spark: SparkSession) -> AbstractContextManager[None]:
+    """Inside, queries that are made and run leave no shuffle files.
+
+    Else these stay until the driver happens to collect its garbage, and the rounds of a loop pile up: every shuffle has three small
+    files for each task that writes, however few the rows.
+    """
+    return _set(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and continue from its reliable checkpoint, so that lost executors cost no recomputation."""
+    """Compute df once and continue from its reliable checkpoint, so that lost executors cost no recomputation and shuffle files go."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # made anew: a query takes that setting when it is made
 
 
 @contextmanager
@@ -51,17 +74,8 @@ def measured(spark: SparkSession) -> Iterator[None]:
     What is planned from files alone is an estimate: compressed files, exploded lists and checkpoints made of either are larger by far.
     """
     planned, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
-    most, own = spark.conf.get(planned), spark.conf.get(adaptive, None)
-    spark.conf.set(adaptive, own or most)
-    spark.conf.set(planned, "-1")
-    try:
+    with _set(spark, {adaptive: spark.conf.get(adaptive, None) or spark.conf.get(planned), planned: "-1"}):
         yield
-    finally:
-        spark.conf.set(planned, most)
-        if own:
-            spark.conf.set(adaptive, own)
-        else:
-            spark.conf.unset(adaptive)
 
 
 def forget(df: DataFrame) -> None:
