@@ -11,7 +11,7 @@ from weft.operators import blocks as B
 from weft.operators import correct, graph, layout, merge, metrics, partition, refine, seeds, signature, tokens, trie
 from weft.operators.components import connected_components
 from weft.plans import flagship, pii, signatures
-from weft.session import cut
+from weft.session import cut, one_row
 from weft.sources.files import sample_records
 
 REC = "ref_id long, tokens array<string>"
@@ -166,6 +166,18 @@ def test_checkpoints_and_components_leave_no_shuffle_files(spark):
     assert roots.where("root = 0").count() == 301
 
 
+def test_rounds_of_one_row_cost_the_driver_no_threads(spark):
+    """Each shuffle of an adaptive plan starts a thread that idles for a minute; solvers ask for one row after another."""
+    threads = spark.sparkContext._jvm.java.lang.Thread
+
+    def idle() -> set[str]:
+        return {t for t in threads.getAllStackTraces().keySet().toString().split("Thread[") if t.startswith("shuffle-exchange")}
+
+    rows, before = cut(spark.range(50).repartition(3)), idle()
+    assert [one_row(rows.agg(F.sum(F.col("id") * k)))[0] for k in range(5)] == [1225 * k for k in range(5)]
+    assert not idle() - before and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_colliding_partition_keys_unite(spark):
     blocks = spark.createDataFrame([(["A"], 1), (["A"], 2), (["B"], 3), (["B"], 4)], "key array<string>, ref_id long")
     df = spark.createDataFrame([(1, ["A", "B"]), (2, ["A", "B"]), (3, ["A", "B"]), (4, ["A", "B"])], REC)

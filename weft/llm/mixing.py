@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.session import cut
+from weft.session import cut, one_row
 
 BUCKETS = 8192
 #: Log likelihoods are kept in thousandths, posteriors in thousandths.
@@ -197,12 +197,12 @@ def _settle(cells: DataFrame, targets: list[float], total: int, tolerance: float
     while True:
         rated = cells.withColumn("r", after(step))
         alive = F.when(F.col("r") > 0, share).otherwise(0.0)
-        sums = rated.agg(
+        sums = one_row(rated.agg(
             F.sum(share * F.col("r") * F.col("r")).alias("square"),
             *[F.sum(share * F.col("r") * p[k]).alias(f"s{k}") for k in range(count)],
             *[F.sum(p[k]).alias(f"any{k}") for k in range(count)],
             *[F.sum(alive * p[i] * p[j]).alias(f"h{i}_{j}") for i in range(count) for j in range(i, count)],
-        ).first()
+        ))
         left = np.array([round(sums[f"s{k}"], 12) for k in range(count)]) - wanted
         known = np.array([sums[f"any{k}"] > 0 for k in range(count)])
         lowest = value(sums["square"], step)
@@ -213,7 +213,7 @@ def _settle(cells: DataFrame, targets: list[float], total: int, tolerance: float
         curve[~known] = curve[:, ~known] = 0.0
         moves = [np.linalg.solve(curve + damp * np.eye(count), slope) for damp in (LEAST, 1e-9, 1e-6, 1e-3, 1.0)]
         tried = [step - short * move for move in moves for short in (1.0, 0.25, 1 / 16, 1 / 64)]
-        squares = cells.agg(*[F.sum(share * after(x) * after(x)).alias(f"t{k}") for k, x in enumerate(tried)]).first()
+        squares = one_row(cells.agg(*[F.sum(share * after(x) * after(x)).alias(f"t{k}") for k, x in enumerate(tried)]))
         values = [value(squares[k], x) for k, x in enumerate(tried)]
         best = int(np.argmin(values))
         if not values[best] < lowest - 1e-12 * max(1.0, abs(lowest)):
@@ -226,7 +226,7 @@ def solve(cells: DataFrame, targets: list[float], tolerance: float = TOLERANCE,
     residual, a last step that settles it. Only sums per domain reach the driver."""
     count = len(targets)
     p = [F.col(f"q{k}") / UNIT for k in range(count)]
-    first = cells.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(count) for j in range(i, count)]).first()
+    first = one_row(cells.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(count) for j in range(i, count)]))
     total = first["n"] or 0
     if not total:
         return [], [0.0] * count
@@ -237,7 +237,7 @@ def solve(cells: DataFrame, targets: list[float], tolerance: float = TOLERANCE,
 
     def left() -> list[float]:
         rated = cells.withColumn("rate", rate_column(history, count))
-        sums = rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * p[k]).alias(f"s{k}") for k in range(count)]).first()
+        sums = one_row(rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * p[k]).alias(f"s{k}") for k in range(count)]))
         return [round(sums[k] / total - targets[k], 9) for k in range(count)]
 
     while True:

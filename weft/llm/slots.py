@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.operators.components import connected_components
-from weft.session import cut, forget, tidy
+from weft.session import cut, forget, one_row
 
 #: Pairs to a member of a slot, on average, that are tried without more ado.
 AFFORDED = 16
@@ -87,8 +87,7 @@ def connect(
         state = sizes.groupBy("slot").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
         state = state.where(F.col("n") > F.col("top.n")).select("slot", F.col("top.root").alias("most"), "n")
         rows = cut(rows.join(state, "slot"))
-        with tidy(rows.sparkSession):
-            total = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("root") != F.col("most"), F.col("n"))).alias("pairs")).first()
+        total = one_row(rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("root") != F.col("most"), F.col("n"))).alias("pairs")))
         if not total["rows"]:
             return roots
         other = rows.where((F.col("root") != F.col("most")) & (F.col("pid") != F.col("lead"))).select(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.session import cut, forget, tidy
+from weft.session import cut, forget, one_row
 
 
 def _hop(edges: DataFrame, keep_larger: bool) -> DataFrame:
@@ -33,11 +33,10 @@ def _hop(edges: DataFrame, keep_larger: bool) -> DataFrame:
 
 
 def _state(edges: DataFrame) -> tuple:
-    with tidy(edges.sparkSession):
-        row = edges.agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x"), F.bit_xor(F.hash("hi", "lo")).alias("y")
-        ).first()
-    return tuple(row)
+    state = edges.agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x"), F.bit_xor(F.hash("hi", "lo")).alias("y")
+    )
+    return tuple(one_row(state))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Iterator
 from contextlib import AbstractContextManager, contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,17 @@ def tidy(spark: SparkSession) -> AbstractContextManager[None]:
     return _set(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
+def one_row(df: DataFrame) -> Row:
+    """The row of a global aggregate of stored rows.
+
+    Its plan has nothing to adapt, so it is not adaptive: an adaptive one costs the driver a thread that idles for a minute and copies
+    of the plan for its history, which loops multiply.
+    """
+    spark = df.sparkSession
+    with tidy(spark), _set(spark, {"spark.sql.adaptive.enabled": "false"}):
+        return df.first()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and continue from its reliable checkpoint, so that lost executors cost no recomputation and shuffle files go."""
     ensure_checkpoint_dir(df.sparkSession)
