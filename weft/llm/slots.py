@@ -9,7 +9,8 @@ classes are few, or when this way makes them no fewer, all of them are tried. He
 missed, and a group of near copies costs about its size in each slot.
 
 Items may carry a sketch, 64 bits that tell most strangers apart. Then a member is held against its slot's smallest where the slot is
-read, and later inside the join, so that a pair becomes a row and is verified only where the sketches allow it.
+read, and later inside the join, so that a pair becomes a row and is verified only where the sketches allow it. That alone may miss
+a link, with the chance that the caller's limit leaves to barely near pairs.
 """
 
 from __future__ import annotations
