@@ -178,3 +178,15 @@ def test_plan_has_no_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = M.mix(docs, docs, TARGETS)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
+def test_plans_do_not_spell_out_the_tables(spark):
+    """The driver keeps the description of every plan; with the tables as literals one takes over 100,000 letters."""
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    domains = M.Domains(("aa", "bb"), (math.log(0.5),) * 2, (tuple(range(M.BUCKETS)), tuple(range(0, -M.BUCKETS, -1))))
+    scored = M.posteriors(df, domains, "doc_id", "text")
+    assert len(scored._jdf.queryExecution().toString()) < 50_000
+    row = next(r for r in scored.collect() if r["id"] == 4)
+    ws = words(corpus()[4][1])
+    z = [sign * sum(map(bucket, ws)) / (1 + len(ws) / 40) / 1000 for sign in (1, -1)]
+    assert [row["q0"], row["q1"]] == [round(1000 / (1 + math.exp(z[1] - z[0]))), round(1000 / (1 + math.exp(z[0] - z[1])))]

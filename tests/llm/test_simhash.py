@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -187,6 +188,30 @@ def test_keep_one_of_a_great_group_of_near_copies(spark):
     assert kept == [0, *range(2000, 2100)]
 
 
+def test_strangers_of_one_family_make_no_pairs(spark, monkeypatch):
+    """Fingerprints of one family, some 123 bits apart where 78 are near: the slots hold over 100,000 of their pairs."""
+    rng = np.random.default_rng(6)
+    bits = rng.integers(0, 2, S.LONG) ^ (rng.random((1500, S.LONG)) < 0.14)
+    for k in range(50):  # near ones
+        bits[2 * k + 1] = bits[2 * k]
+        bits[2 * k + 1, rng.choice(S.LONG, 40, replace=False)] ^= 1
+    prints = [row.tobytes() for row in np.packbits(bits.astype(np.uint8), axis=1)]
+    tried, connect = [], S.connect
+
+    def counted(members, verified, *more):
+        def seen(pairs):
+            tried.append(pairs.count())
+            return verified(pairs)
+
+        return connect(members, seen, *more)
+
+    monkeypatch.setattr(S, "connect", counted)
+    own = spark.createDataFrame([(k, bytearray(p)) for k, p in enumerate(prints)], "pid long, p binary")
+    found = {r["pid"]: r["root"] for r in S.segment_classes(own, 0.8).collect()}
+    assert all(found.get(2 * k) == 2 * k == found.get(2 * k + 1) for k in range(50)) and len(found) <= 110
+    assert len(tried) > 1 and sum(tried[1:]) < 100
+
+
 def test_keep_one_keeps_the_smallest_id_of_each_group(spark):
     rows = texts()
     df = spark.createDataFrame([(d, t, "extra", 5) for d, t in rows], SCHEMA + ", p string, id int")

@@ -29,7 +29,8 @@ import warnings
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.session import cut, one_row
@@ -90,9 +91,14 @@ def train(labelled: DataFrame, names: list[str], domain_col: str, text_col: str,
     )
 
 
-def _ints(values: tuple[int, ...]) -> Column:
-    """An integer array as one literal; folded once, looked up in generated code."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+def _lookups(spark: SparkSession, domains: Domains) -> list[Column]:
+    """The domains' tables, each an array that generated code looks up.
+
+    They are scalar subqueries over one local row: as literals they would stand in every description of the plan, which the driver
+    keeps for its history, megabytes for each query.
+    """
+    tables = spark.createDataFrame(pa.table({f"l{k}": pa.array([table], pa.list_(pa.int32())) for k, table in enumerate(domains.likelihood)}))
+    return [tables.select(name).scalar() for name in tables.columns]
 
 
 def _sums(docs: DataFrame, domains: Domains, id_col: str, text_col: str) -> DataFrame:
@@ -104,7 +110,7 @@ def _sums(docs: DataFrame, domains: Domains, id_col: str, text_col: str) -> Data
     return placed.groupBy("id", "h").agg(
         F.count_if("real").alias("tokens"),
         F.count_if(F.col("at") == 0).alias("copies"),
-        *[F.coalesce(F.sum(F.get(_ints(table), F.col("b"))), F.lit(0)).alias(f"l{k}") for k, table in enumerate(domains.likelihood)],
+        *[F.coalesce(F.sum(F.get(table, F.col("b"))), F.lit(0)).alias(f"l{k}") for k, table in enumerate(_lookups(docs.sparkSession, domains))],
     )
 
 

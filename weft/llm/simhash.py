@@ -11,7 +11,7 @@ for a ball. So keep_one works on long fingerprints of LONG bits, of which it tak
 around each segment: every segment emits all variants within one flip, and two texts meet if any segment differs in at
 most two bits. Segments are some ten bits longer than the logarithm of the number of fingerprints, so that few strangers meet,
 and so many that texts of the least likeness meet with a chance of FOUND, nearer ones nearly always. Those that meet are
-verified on all LONG bits. A variant where a great group of near copies meets is not capped; slots.py says how it is searched.
+verified on all LONG bits, where many meet inside the join that pairs them. A variant where a great group of near copies meets is not capped; slots.py says how it is searched.
 
 Defined cases: a null text counts as empty, an empty text has fingerprint zero and links like any other, a text of
 fewer words than a shingle is one shingle. Repeated rows give repeated results. A null id yields a row whose component
@@ -192,10 +192,21 @@ def segment_classes(own: DataFrame, least: float) -> DataFrame:
         left, right = own.select(F.col("pid").alias("a"), F.col("p").alias("x")), own.select(F.col("pid").alias("b"), F.col("p").alias("y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", distance("x", "y").alias("d")).where(F.col("d") <= limit)
 
+    @F.arrow_udf("array<long>")
+    def words_of(values: pa.Array) -> pa.Array:
+        flat = np.frombuffer(b"".join(values.to_pylist()), np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, LONG // 64), pa.int32()), pa.array(flat))
+
+    def sketched(items: DataFrame) -> DataFrame:
+        return items.join(own.select("pid", "p"), "pid").withColumn("sketch", words_of("p")).drop("p")
+
+    def near(x: Column, y: Column) -> Column:
+        return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(LONG // 64)), F.lit(0)) <= limit
+
     masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << k for k in range(size))]])
     tasks = max(own.sparkSession.sparkContext.defaultParallelism, n * count * (size + 1) // EMITTED)
     keyed = own.repartition(tasks, "pid").select("pid", F.explode(keys_of("p")).alias("key")).select("pid", "key", F.explode(masks).alias("mask"))
-    return connect(crowded(keyed.select(F.col("key").bitwiseXOR(F.col("mask")).alias("slot"), "pid")), verified)
+    return connect(crowded(keyed.select(F.col("key").bitwiseXOR(F.col("mask")).alias("slot"), "pid")), verified, near, sketched)
 
 
 def near_groups(prints: DataFrame, id_col: str = "doc_id", least: float = 0.8) -> DataFrame:

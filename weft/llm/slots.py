@@ -8,9 +8,13 @@ that is outside the slot's largest class, and so on; what that links grows that
 classes are few, or when this way makes them no fewer, all of them are tried. Hence no link between two classes is ever
 missed, and a group of near copies costs about its size in each slot.
 
-Items may carry a sketch, 64 bits that tell most strangers apart. Then a member is held against its slot's smallest where the slot is
-read, and later inside the join, so that a pair becomes a row and is verified only where the sketches allow it. That alone may miss
-a link, with the chance that the caller's limit leaves to barely near pairs.
+Items may carry a sketch, bits that tell strangers apart, so that a pair becomes a row and is verified only where the sketches allow it.
+Members that bring one (64 bits that tell most strangers apart) are held against their slot's smallest where the slot is read, and
+later inside the join. That alone may miss a link, with the chance that the caller's limit leaves to barely near pairs. Where whole
+fingerprints would be too much for every slot, sketches are looked up for the items that the first round leaves; if they hold all
+that verified asks, nothing is missed.
+
+What is known of an item, its class and its sketch, is looked up once for the item, not for each of its slots.
 """
 
 from __future__ import annotations
@@ -59,46 +63,58 @@ def _grown(roots: DataFrame, found: DataFrame) -> DataFrame:
     return grown
 
 
+def _placed(members: DataFrame, roots: DataFrame, sketched: Callable[[DataFrame], DataFrame] = lambda items: items) -> DataFrame:
+    """members(slot, pid) with root, the class of pid so far, and what sketched adds to items(pid, ...). Sketches that members bring stay."""
+    brought = [F.min(c).alias(c) for c in members.columns if c == "sketch"]  # an item has one
+    items = members.groupBy("pid").agg(F.collect_list("slot").alias("slots"), *brought).join(roots, "pid", "left")
+    items = sketched(items.withColumn("root", F.coalesce("root", "pid")))
+    return items.select(F.explode("slots").alias("slot"), *[c for c in items.columns if c != "slots"])
+
+
 def connect(
-    members: DataFrame, verified: Callable[[DataFrame], DataFrame], plausible: Callable[[Column, Column], Column] | None = None
-) -> DataFrame:
+    members: DataFrame,
+    verified: Callable[[DataFrame], DataFrame],
+    plausible: Callable[[Column, Column], Column] | None = None,
+    sketched: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(pid, root): classes that links make of crowded members, without those of one; verified keeps the near ones of distinct
-    pairs (a, b), a < b; plausible says of two sketches, where members have them, whether their pair needs to be tried."""
+    pairs (a, b), a < b; plausible says of two sketches, which members bring or sketched adds to items(pid, ...), whether
+    their pair needs to be tried."""
+    brought = [c for c in members.columns if c == "sketch"]
     sketch = ["sketch"] if plausible else []
 
     def allowed(x: str, y: str) -> Column:
         return plausible(F.col(x), F.col(y)) if plausible else F.lit(True)
 
     members = cut(members)
-    tried = members.where(F.col("pid") != F.col("lead")).where(allowed("sketch", "lead_sketch")).select(F.col("lead").alias("a"), F.col("pid").alias("b"))
+    tried = members.where(F.col("pid") != F.col("lead"))
+    tried = (tried.where(allowed("sketch", "lead_sketch")) if brought else tried).select(F.col("lead").alias("a"), F.col("pid").alias("b"))
     links = cut(verified(tried.distinct()).select("a", "b"))
     roots = cut(connected_components(links).select(F.col("node").alias("pid"), "root"))
-    # Slots of more than two that hold a member of another class than their smallest.
-    held = members.where("n > 2 AND pid != lead").select(F.col("lead").alias("a"), F.col("pid").alias("b")).distinct()
-    apart = _rooted(held.join(links, ["a", "b"], "left_anti"), roots).where("root_a != root_b").select(F.col("a").alias("lead"), F.col("b").alias("pid"))
-    mixed = members.where("n > 2").join(apart, ["lead", "pid"]).select("slot").distinct()
-    every, members = members, cut(members.join(mixed, "slot", "left_semi").select("slot", "pid", "lead", *sketch))
+    # All have met their slot's smallest. What is left are slots whose other members are of several classes.
+    slot = Window.partitionBy("slot")
+    others = _placed(members.where("n > 2 AND pid != lead").select("slot", "pid", *brought), roots)
+    mixed = others.withColumns({"least": F.min("root").over(slot), "most": F.max("root").over(slot)}).where("least < most")
+    every, members = members, cut(mixed.select("slot", "pid", *brought))
     for done in (every, links):
         forget(done)
     turn, before = 0, math.inf
     while True:
-        rows = members.join(roots, "pid", "left").select("slot", "pid", "lead", F.coalesce("root", "pid").alias("root"), *sketch)
+        rows = _placed(members, roots, *([sketched] if sketched else [])).withColumn("n", F.count(F.lit(1)).over(slot))
         # Of each slot the largest class so far, and how many members are outside it.
-        sizes = rows.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("n"))
-        state = sizes.groupBy("slot").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-        state = state.where(F.col("n") > F.col("top.n")).select("slot", F.col("top.root").alias("most"), "n")
-        rows = cut(rows.join(state, "slot"))
+        rows = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("slot", "root"))).withColumn("top", F.max(F.struct("size", "root")).over(slot))
+        rows = cut(rows.where(F.col("n") > F.col("top.size")).select("slot", "pid", "root", F.col("top.root").alias("most"), "n", *sketch))
         total = one_row(rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("root") != F.col("most"), F.col("n"))).alias("pairs")))
         if not total["rows"]:
             return roots
-        other = rows.where((F.col("root") != F.col("most")) & (F.col("pid") != F.col("lead"))).select(
+        other = rows.where(F.col("root") != F.col("most")).select(
             "slot", F.col("pid").alias("b"), F.col("root").alias("other"), *[F.col(c).alias("other_sketch") for c in sketch]
         )
         last = total["pairs"] <= AFFORDED * total["rows"] or total["pairs"] > before / 2  # few, or as few as this way makes them
         if not last:
             lead = other.groupBy("slot").agg(F.min_by(F.struct("b", "other", *[f"other_{c}" for c in sketch]), F.xxhash64("b", F.lit(turn))).alias("next"))
             other = lead.select("slot", "next.*")
-        met = rows.join(other, "slot").where((F.col("root") != F.col("other")) & (F.col("pid") != F.col("lead"))).where(allowed("sketch", "other_sketch"))
+        met = rows.join(other, "slot").where(F.col("root") != F.col("other")).where(allowed("sketch", "other_sketch"))
         if last:
             met = met.where((F.col("root") == F.col("most")) | (F.col("pid") < F.col("b")))
         found = cut(verified(met.select(F.least("pid", "b").alias("a"), F.greatest("pid", "b").alias("b")).distinct()).select("a", "b"))
